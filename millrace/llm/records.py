@@ -1,0 +1,46 @@
+"""The records of a score table: one row per rank, cleaned."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.labels import canonical
+
+MAX_TOKENS = 1_000_000
+
+
+def usable_loss() -> Column:
+    """``mean_loss`` where it is a finite number above 0 and something was predicted, else null."""
+    loss = F.col("mean_loss")
+    fine = loss.isNotNull() & ~F.isnan(loss) & (loss > 0) & (loss < F.lit(float("inf"))) & (F.col("n_pred") > 0)
+    return F.when(fine, loss)
+
+
+def usable_count() -> Column:
+    """``n_tokens`` where it lies in 1 .. MAX_TOKENS, else null."""
+    return F.when(F.col("n_tokens").between(1, MAX_TOKENS), F.col("n_tokens"))
+
+
+def latest_records(scores: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per ``rank``: that of the greatest ``scored_at``, with the columns ``keep``.
+
+    Rows without rank are no records. Rows of equal ``scored_at`` are repeats; if their values differ, the later
+    ``loaded_at`` and then the greater values win, so the result does not depend on the order of the rows.
+    """
+    columns = [c for c in dict.fromkeys(["rank", *keep])]
+    slim = scores.where(F.col("rank").isNotNull()).select(*dict.fromkeys([*columns, "scored_at", "loaded_at"]))
+    newest = Window.partitionBy("rank").orderBy(F.col("scored_at").desc_nulls_last(), F.col("loaded_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in columns[1:]])
+    return slim.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").select(*columns)
+
+
+def labelled_records(scores: DataFrame, catalog: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``latest_records`` with source, topic and vigintile (those among ``keep``) in canonical form."""
+    labels = [c for c in ("source", "topic", "vigintile") if c in keep]
+    needed = [*keep, *[c for c in ("topic", "vigintile") if labels and c not in keep]]
+    found = latest_records(scores, needed)
+    if labels:
+        found = canonical(found, catalog)
+    return found.select("rank", *[c for c in keep if c != "rank"])
