@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, the SQL to compare them with."""
 
-from . import budget, cutoffs, sketch
+from . import budget, cutoffs, level, mixing, overlap, packing, sample, sketch
 from .sql import CATALOG, WITH, canonical
 
 QUERIES = {
@@ -13,6 +13,20 @@ QUERIES = {
     "p3_found": sketch.p3_found,
     "p3_percentiles": sketch.p3_percentiles,
     "p3_daily": sketch.p3_daily,
+    "p4_found": overlap.p4_found,
+    "p4_report": overlap.p4_report,
+    "p5_sample": sample.p5_sample,
+    "p5_report": sample.p5_report,
+    "p6_found": packing.p6_found,
+    "p6_assignments": packing.p6_assignments,
+    "p6_containers": packing.p6_containers,
+    "p6_report": packing.p6_report,
+    "p7_found": mixing.p7_found,
+    "p7_mix": mixing.p7_mix,
+    "p7_texts": mixing.p7_texts,
+    "p8_found": level.p8_found,
+    "p8_levels": level.p8_levels,
+    "p8_profile": level.p8_profile,
 }
 
 _CUTS = f"""{WITH},
@@ -43,4 +57,11 @@ ORACLES = {
     "p3_found": f"""{_MEASURES}, points as (select source, topic, measure, min(value) filter (pos * 100 >= n * 50) as p50, min(value) filter (pos * 100 >= n * 90) as p90,
         min(value) filter (pos * 100 >= n * 95) as p95 from ranked where n >= 50 group by all)
         select source, topic, measure from points where (measure = 'mean_loss' and p90 >= 1.5 * p50) or (measure = 'n_tokens' and p95 >= 6 * p50)""",
+    "p5_sample": sample.SQL_SAMPLE,
+    "p5_report": f"""with {CATALOG}, {sample.SQL_KNOWN},
+        firsts as (select row_id, source, topic, '' as vigintile from known where row_id >= 0 qualify row_number() over (partition by row_id order by added_at, shard, shard_offset, rank, source nulls last, topic nulls last) = 1)
+        select source, count(*) as n_docs, count(*) filter ({sample.SQL_IN}) as n_sampled, round(count(*) filter ({sample.SQL_IN}) / count(*), 6) as rate from {canonical('firsts')} group by source""",
+    # no text lies near the limit by any tokenizer, so words and marks can be counted instead
+    "p6_found": r"select doc_id from documents where len(regexp_extract_all(text, '[\pL]+|[\pN]+|[^\s\pL\pN]')) > 2048",
+    "p7_found": mixing.SQL_FOUND.replace("{catalog}", CATALOG).replace("{documents}", canonical("documents")),
 }
