@@ -36,6 +36,7 @@ WORDS = 3
 COSINE = 0.4
 SHARE = 0.58
 BITS = 27  # of the bit map: 16 MB
+CHUNKS = 128
 
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
@@ -110,14 +111,22 @@ def vectors(texts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def bitmap(terms: DataFrame) -> np.ndarray:
-    """Bit map of the hashes in ``term``: at most 2^BITS / 64 rows reach the driver."""
+    """Bit map of the hashes in ``term``. Tasks make it in CHUNKS pieces, so the driver gets that many blobs, 16 MB in all."""
     # one row per 64 bits; the 64th bit is the sign of the long
     place = f"shiftrightunsigned(term, {64 - BITS})"
-    lanes = terms.selectExpr(f"shiftright({place}, 6) as word", f"shiftleft(1L, cast({place} & 63 as int)) as bit")
-    rows = lanes.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    lanes = terms.selectExpr(f"cast(shiftright({place}, 6) as int) as word", f"shiftleft(1L, cast({place} & 63 as int)) as bit")
+    words_each = (1 << (BITS - 6)) // CHUNKS
+    filled = lanes.groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("chunk", F.expr(f"word div {words_each}").cast("int"))
+
+    def blob(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(words_each, dtype=np.int64)
+        out[rows.column("word").to_numpy() % words_each] = rows.column("bits").to_numpy()
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    for chunk, bits in filled.groupBy("chunk").applyInArrow(blob, "chunk int, bits binary").collect():
+        out[chunk * words_each : (chunk + 1) * words_each] = np.frombuffer(bits, dtype=np.uint64)
+    return out
 
 
 def _probe(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
