@@ -19,6 +19,11 @@ GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111E
 LOW32 = 0xFFFFFFFF
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a column that occurs several times in an expression is else a copy each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signed(value: int) -> int:
     """The signed reading of an unsigned 64-bit number."""
     value &= (1 << 64) - 1
@@ -47,18 +52,17 @@ def _wrapping_add(a: Column, factor: int) -> Column:
 
 def _wrapping_multiply(a: Column, factor: int) -> Column:
     low, high = a.bitwiseAND(F.lit(LOW32)), F.shiftrightunsigned(a, 32)
-    base = _times32(low, factor & LOW32)
-    upper = (_times32(low, factor >> 32).bitwiseAND(F.lit(LOW32)) + _times32(high, factor & LOW32).bitwiseAND(F.lit(LOW32))) + F.shiftrightunsigned(base, 32)
-    return _join(upper, base.bitwiseAND(F.lit(LOW32)))
+    crossed = _times32(low, factor >> 32).bitwiseAND(F.lit(LOW32)) + _times32(high, factor & LOW32).bitwiseAND(F.lit(LOW32))
+    return let(_times32(low, factor & LOW32), lambda base: _join(crossed + F.shiftrightunsigned(base, 32), base.bitwiseAND(F.lit(LOW32))))
 
 
 def hash64(seed: int, value: Column) -> Column:
     """splitmix64 of value + seed * golden ratio, as signed bits; null for null."""
     step = lambda z, shift: z.bitwiseXOR(F.shiftrightunsigned(z, shift))
     z = _wrapping_add(value.cast("long"), (seed * GOLDEN) & ((1 << 64) - 1))
-    z = _wrapping_multiply(step(z, 30), MIX_1)
-    z = _wrapping_multiply(step(z, 27), MIX_2)
-    return step(z, 31)
+    z = let(let(z, lambda v: step(v, 30)), lambda v: _wrapping_multiply(v, MIX_1))
+    z = let(let(z, lambda v: step(v, 27)), lambda v: _wrapping_multiply(v, MIX_2))
+    return let(z, lambda v: step(v, 31))
 
 
 def unsigned_below(value: Column, limit: int) -> Column:
@@ -94,7 +98,7 @@ def low64(decimal: Column) -> Column:
         chunk = F.substring(digits, start, 9).cast("decimal(9,0)")
         total = ((total * F.lit(10**9).cast("decimal(10,0)") + chunk) % two64).cast("decimal(20,0)")
     half = F.lit("9223372036854775808").cast("decimal(20,0)")
-    bits = F.when(total >= half, total - two64).otherwise(total).cast("long")
+    bits = let(total, lambda t: F.when(t >= half, t - two64).otherwise(t).cast("long"))
     return F.when(F.trim(decimal).rlike(r"^\d{1,45}$"), bits)
 
 

@@ -87,3 +87,36 @@ def up_to(df: DataFrame, cuts: DataFrame, order: Sequence[str], group: Sequence[
     bounds = cuts.select(*group, F.struct(*order).alias("__cut"))
     joined = df.join(F.broadcast(bounds), list(group)) if group else df.crossJoin(F.broadcast(bounds))
     return joined.where(F.struct(*order) <= F.col("__cut")).drop("__cut")
+
+
+def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """The rows at given 1-based positions within their group, by ``order`` ascending: group, ``position``, order columns.
+
+    ``positions`` has the columns ``group`` and ``position``, a few rows per group. Only the ranges that hold one of them
+    are numbered row by row.
+    """
+    ranged = _ranged(df.select(*group, *order), group, order)
+    offsets = _offsets(ranged, group, F.lit(1).cast("long"))
+    wanted = positions.select(*group, "position").distinct()
+    hit = offsets.join(wanted, list(group)).where((F.col("__before") < F.col("position")) & (F.col("position") <= F.col("__before") + F.col("__here")))
+    parts = hit.select(*group, "__part", "__before").distinct()
+    inside = Window.partitionBy(*group, "__part").orderBy(*order)
+    numbered = ranged.join(F.broadcast(parts), [*group, "__part"]).withColumn("position", (F.row_number().over(inside) + F.col("__before")).cast("long"))
+    return numbered.join(F.broadcast(wanted), [*group, "position"]).select(*group, "position", *order)
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group: str) -> DataFrame:
+    """group, ``q``, ``quantile``: exact quantiles with linear interpolation, of groups of any size; null values are left out.
+
+    The two neighbours of each quantile are looked up by position, instead of holding a group's values in one aggregation.
+    """
+    clean = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("__x"))
+    sizes = clean.groupBy(group).agg(F.count("*").alias("__n"))
+    points = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("__h", F.col("q") * (F.col("__n") - 1))
+    low = F.floor("__h").cast("long")
+    points = points.withColumns({"__lo": low + 1, "__hi": F.least(low + 2, F.col("__n")), "__f": F.col("__h") - low})
+    places = points.select(group, F.explode(F.array("__lo", "__hi")).alias("position"))
+    found = rows_at(clean, places, ["__x"], [group])
+    at = lambda side: found.select(group, F.col("position").alias(side), F.col("__x").alias(f"{side}_x"))
+    joined = points.join(at("__lo"), [group, "__lo"]).join(at("__hi"), [group, "__hi"])
+    return joined.select(group, "q", (F.col("__lo_x") + F.col("__f") * (F.col("__hi_x") - F.col("__lo_x"))).alias("quantile"))

@@ -1,5 +1,7 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from . import corpus_queries
+
+QUERIES: dict = {**corpus_queries.Q}
+ORACLES: dict = {**corpus_queries.SQL}
+FLAGSHIP = "dedup_by_language"
