@@ -1,7 +1,7 @@
 """All queries of the engine's own operators, by name, with their SQL."""
 
-from . import corpus_queries
+from . import corpus_queries, experiment_queries
 
-QUERIES: dict = {**corpus_queries.Q}
-ORACLES: dict = {**corpus_queries.SQL}
+QUERIES: dict = {**corpus_queries.Q, **experiment_queries.Q}
+ORACLES: dict = {**corpus_queries.SQL, **experiment_queries.SQL}
 FLAGSHIP = "dedup_by_language"
