@@ -424,7 +424,7 @@ pairs as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as n
 select a, b, round(c / (na + nb - c), 6) as similarity from pairs where c / (na + nb - c) >= 0.8 - 1e-9""")
 def near_duplicate_pairs(spark, folder):
     """Pairs of different wording with a similarity of at least 0.8, as the least ids of their classes of equal shingles."""
-    members, sets = neardup.shingle_sets(table(spark, folder, "documents"), "doc_id", "text")
+    members, sets = neardup.shingle_sets(table(spark, folder, "documents", spread=True), "doc_id", "text")
     least = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"))
     pairs = neardup.similar_pairs(sets)
     named = pairs.join(least.select(F.col("set_id").alias("a"), F.col("id").alias("ia")), "a").join(least.select(F.col("set_id").alias("b"), F.col("id").alias("ib")), "b")
@@ -433,17 +433,17 @@ def near_duplicate_pairs(spark, folder):
 
 @query()
 def near_duplicate_classes(spark, folder):
-    return neardup.near_duplicates(table(spark, folder, "documents"))
+    return neardup.near_duplicates(table(spark, folder, "documents", spread=True))
 
 
 @query()
 def minhash_classes(spark, folder):
-    return neardup.minhash_classes(table(spark, folder, "documents"))
+    return neardup.minhash_classes(table(spark, folder, "documents", spread=True))
 
 
 @query()
 def near_dedup(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", spread=True)
     return neardup.keep_one(docs, neardup.near_duplicates(docs)).select("doc_id", "source")
 
 
@@ -457,14 +457,14 @@ select doc_id, len(w) as n_words, round(case when len(p) > 0 then list_sum(list_
  round(case when len(l) > 0 then len(list_filter(l, lambda x: starts_with(ltrim(x), '•') or starts_with(ltrim(x), '-'))) / len(l) else 0 end, 6) as bullet_ratio,
  round(case when len(d) > 0 then (len(d) - len(list_distinct(d))) / len(d) else 0 end, 6) as dup_line_frac from g""")
 def quality_features(spark, folder):
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = table(spark, folder, "documents", spread=True).where("text is not null")
     made = docs.select("doc_id", *[c.alias(n) for n, c in quality.text_features(F.col("text")).items()])
     return made.select("doc_id", "n_words", "stop_words", *[r(c).alias(c) for c in ("mean_word_length", "bullet_ratio", "dup_line_frac")])
 
 
 @query()
 def quality_reasons(spark, folder):
-    return quality.filtered(table(spark, folder, "documents"))
+    return quality.filtered(table(spark, folder, "documents", spread=True))
 
 
 _LIST = r"regexp_extract_all(regexp_replace(lower(text), '[^\pL\pN\s]', '', 'g'), '[\pL\pN]+')"
@@ -472,7 +472,7 @@ _LIST = r"regexp_extract_all(regexp_replace(lower(text), '[^\pL\pN\s]', '', 'g')
 
 def _word_docs(spark, folder):
     words = F.regexp_extract_all(exprs.simplify(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", words.alias("ids"))
+    return table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", words.alias("ids"))
 
 
 @query(f"select token, count(*) as n from (select unnest({_LIST}) as token from documents) group by token")
@@ -500,7 +500,7 @@ def loss_by_frequency(spark, folder):
 
 def _length_docs(spark, folder):
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("ids"))
+    return table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("ids"))
 
 
 _STREAM = "s as (select doc_id, unnest(list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: length(x))) as v, generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) as i from documents where text is not null)"
@@ -522,14 +522,14 @@ def stream_offsets(spark, folder):
 @query()
 def document_segments(spark, folder):
     """Blocks of framed word ids: segments per block, and how many begin a document."""
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
+    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
     made = tokens.blocks(docs, ["doc_id"], "ids", 2048)
     return made.select("block_id", (F.size(tokens.segment_starts(F.col("ids"))) - 1).alias("segments"), F.size(tokens.boundaries(F.col("ids"))).alias("documents"))
 
 
 @query()
 def packing_protocols(spark, folder):
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
+    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
     return tokens.protocol_losses(tokens.blocks(docs, ["doc_id"], "ids", 2048))
 
 

@@ -67,9 +67,13 @@ def release() -> None:
 atexit.register(release)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a data folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A parquet table of a data folder. ``spread``: for heavy work on each row; a table of fewer splits than there are cores
+    (one small file, say) is dealt to all of them, a larger one is left as it is read."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    if spread and rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        return rows.repartition(cores)
+    return rows
 
 
 def partitions(spark: SparkSession) -> int:
