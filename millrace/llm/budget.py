@@ -117,6 +117,6 @@ def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of the texts of ``documents`` by source, language and topic (the domain)."""
-    docs = canonical(table(spark, folder, "documents").select("source", "topic", "vigintile", "lang", "text"), table(spark, folder, "doc_counts"))
+    docs = canonical(table(spark, folder, "documents", spread=True).select("source", "topic", "vigintile", "lang", "text"), table(spark, folder, "doc_counts"))
     docs = docs.withColumn("lang", language(F.col("lang")))
     return text_token_totals(docs, ["source", "lang", "topic"])

@@ -216,7 +216,7 @@ def running_text(documents: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = running_text(table(spark, folder, "documents"), table(spark, folder, "doc_counts"))
+    docs = running_text(table(spark, folder, "documents", spread=True), table(spark, folder, "doc_counts"))
     model = fit(graded_texts(docs, table(spark, folder, "level_labels")))
     return graded(docs, model, ["doc_id", "source"])
 

@@ -142,7 +142,7 @@ def mix(texts: DataFrame, plan: list[dict], seed: int = SEED) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, list[dict]]:
-    texts = distinct_texts(table(spark, folder, "documents"), table(spark, folder, "doc_counts"))
+    texts = distinct_texts(table(spark, folder, "documents", spread=True), table(spark, folder, "doc_counts"))
     return texts, shares(texts, table(spark, folder, "source_targets"))
 
 

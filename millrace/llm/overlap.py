@@ -258,7 +258,7 @@ def cross_split_pairs(scores: DataFrame, pool: DataFrame, documents: DataFrame,
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split_pairs(*(table(spark, folder, name) for name in ("scores", "pool", "documents", "eval_docs")))
+    return cross_split_pairs(table(spark, folder, "scores"), table(spark, folder, "pool"), table(spark, folder, "documents", spread=True), table(spark, folder, "eval_docs", spread=True))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -193,7 +193,7 @@ def pack(sized: DataFrame, identifier: str = "doc_id", size: str = "n_tokens", c
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", "text")
     return pack(token_counts(docs, ["doc_id"], VOCABULARY))
 
 
