@@ -38,7 +38,8 @@ def digitize(x: Column, edges: Sequence[float]) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    """x within low .. high; null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def copy_bucket(copies: Column) -> Column:
@@ -54,7 +55,8 @@ def z_bin(z: Column) -> Column:
     """Label of a z-score's bin; scores within 1e-9 of 0 (untrusted, or at the mean) have a bin of their own."""
     names = ["z = 0" if lo == -1e-9 else f"[{lo:+.1f}, {hi:+.1f})" for lo, hi in zip([float("-inf"), *Z_EDGES], [*Z_EDGES, float("inf")])]
     names = [n.replace("-0.0", "+0.0") for n in names]
-    return F.element_at(F.array(*[F.lit(n) for n in names]), digitize(z, Z_EDGES) + 1)
+    place = digitize(z, Z_EDGES)
+    return F.when(place.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), place + 1))
 
 
 def weighted_draw_key(uniform: Column, z: Column, beta: float) -> Column:
