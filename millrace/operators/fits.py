@@ -18,10 +18,9 @@ def scaling_fit(points: DataFrame, form: str, group: str = "run", x: str = "toke
     For each k of the grid the best l and a are linear: they follow from the sums of f, f^2, y and f y; the least error wins
     (ties: the smallest k). Result: group, l, a, k, sse, rmse, n. A group without admissible fit has no row.
     """
-    spark = points.sparkSession
     top = high if high is not None else (5.0 if form == "power" else 10.0)
-    grid = spark.range(steps).select((F.lit(low) + F.col("id") * F.lit((top - low) / (steps - 1))).alias("k"))
-    each = points.select(group, F.col(x).alias("x"), F.col(y).alias("y")).join(F.broadcast(grid))  # a few points, a fixed grid
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * F.lit((top - low) / (steps - 1)))
+    each = points.select(group, F.col(x).alias("x"), F.col(y).alias("y"), F.explode(grid).alias("k"))
     f = _basis(form, "x", "k")
     sums = each.groupBy(group, "k").agg(F.count("*").alias("n"), F.sum(f).alias("sf"), F.sum(f * f).alias("sff"), F.sum("y").alias("sy"), F.sum(f * F.col("y")).alias("sfy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
     a = F.try_divide(F.col("n") * F.col("sfy") - F.col("sf") * F.col("sy"), F.col("n") * F.col("sff") - F.col("sf") * F.col("sf"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, partitions
+from ..runtime import materialize, partitions, small
 
 
 def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def cut_rows(df: DataFrame, targets: DataFrame, order: Sequence[str], weight: Co
     slim = df.select(*group, *order, amount.alias("__w"))
     ranged = _ranged(slim, group, order)
     offsets = _offsets(ranged, group, F.col("__w"))
-    offsets = offsets.join(targets, list(group)) if group else offsets.crossJoin(targets)  # one target row without groups
+    offsets = offsets.join(targets, list(group)) if group else offsets.withColumn("target", targets.select("target").scalar())
     total = F.col("__before") + F.col("__here")
     if reach:
         hit = offsets.where((F.col("__before") < F.col("target")) & (total >= F.col("target")))
@@ -69,7 +69,7 @@ def cut_rows(df: DataFrame, targets: DataFrame, order: Sequence[str], weight: Co
         hit = offsets.where((F.col("__before") <= F.col("target")) & (F.col("__here").isNotNull()))
         hit = hit.withColumn("__rn", F.row_number().over(last)).where("__rn <= 2").drop("__rn")
     few = hit.select(*group, "__part", "__before", "target")
-    rows = ranged.join(F.broadcast(few), [*group, "__part"])  # one or two rows per group
+    rows = ranged.join(small(few), [*group, "__part"])  # one or two rows per group
     inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("total", F.sum("__w").over(inside) + F.col("__before"))
     key = F.struct(*order)
@@ -85,8 +85,9 @@ def cut_rows(df: DataFrame, targets: DataFrame, order: Sequence[str], weight: Co
 def up_to(df: DataFrame, cuts: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Rows of ``df`` that do not come after their group's row in ``cuts`` (one row per group, from ``cut_rows``)."""
     bounds = cuts.select(*group, F.struct(*order).alias("__cut"))
-    joined = df.join(F.broadcast(bounds), list(group)) if group else df.crossJoin(F.broadcast(bounds))
-    return joined.where(F.struct(*order) <= F.col("__cut")).drop("__cut")
+    if not group:
+        return df.where(F.struct(*order) <= bounds.scalar())
+    return df.join(small(bounds), list(group)).where(F.struct(*order) <= F.col("__cut")).drop("__cut")
 
 
 def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Sequence[str]) -> DataFrame:
@@ -97,12 +98,12 @@ def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Se
     """
     ranged = _ranged(df.select(*group, *order), group, order)
     offsets = _offsets(ranged, group, F.lit(1).cast("long"))
-    wanted = positions.select(*group, "position").distinct()
+    wanted = small(positions.select(*group, "position").distinct())
     hit = offsets.join(wanted, list(group)).where((F.col("__before") < F.col("position")) & (F.col("position") <= F.col("__before") + F.col("__here")))
-    parts = hit.select(*group, "__part", "__before").distinct()
+    parts = small(hit.select(*group, "__part", "__before").distinct())
     inside = Window.partitionBy(*group, "__part").orderBy(*order)
-    numbered = ranged.join(F.broadcast(parts), [*group, "__part"]).withColumn("position", (F.row_number().over(inside) + F.col("__before")).cast("long"))
-    return numbered.join(F.broadcast(wanted), [*group, "position"]).select(*group, "position", *order)
+    numbered = ranged.join(parts, [*group, "__part"]).withColumn("position", (F.row_number().over(inside) + F.col("__before")).cast("long"))
+    return numbered.join(wanted, [*group, "position"]).select(*group, "position", *order)
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, weighted_draw_key, z_bin
 from ..functions.hashing import hash64, uniform
+from ..runtime import small
 from .prefix import cut_rows, exact_quantiles, running_total, up_to
 
 
@@ -58,7 +59,7 @@ def band_cuts(rows: DataFrame, group: str | None, value: str, size: str, drop_lo
         found = exact_quantiles(grouped, value, wanted, "group")
         at = lambda q, missing: F.coalesce(F.max(F.when(F.col("q") == q, F.col("quantile"))), F.lit(missing))
         cuts = found.groupBy("group").agg((at(low, float("-inf")) if drop_low else F.lit(float("-inf"))).alias("low_cut"), (at(high, float("inf")) if drop_high else F.lit(float("inf"))).alias("high_cut"))
-    cuts = F.broadcast(cuts)  # one row per group
+    cuts = small(cuts)  # one row per group
     joined = grouped.join(cuts, "group").withColumn("kept", F.col(value).between(F.col("low_cut"), F.col("high_cut")))
     return joined.groupBy("group").agg(
         F.count("*").alias("docs"), F.sum(size).alias("tokens"), F.first("low_cut").alias("low_cut"), F.first("high_cut").alias("high_cut"),
@@ -69,7 +70,7 @@ def band_cuts(rows: DataFrame, group: str | None, value: str, size: str, drop_lo
 def in_band(rows: DataFrame, cuts: DataFrame, group: str | None, value: str) -> DataFrame:
     """Rows within their group's cuts, both included. One cut row per group."""
     keyed = rows.withColumn("group", F.col(group) if group else F.lit("ALL")) if group != "group" else rows
-    out = keyed.join(F.broadcast(cuts.select("group", "low_cut", "high_cut")), "group").where(F.col(value).between(F.col("low_cut"), F.col("high_cut")))
+    out = keyed.join(small(cuts.select("group", "low_cut", "high_cut")), "group").where(F.col(value).between(F.col("low_cut"), F.col("high_cut")))
     return out.select(*rows.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import PERCENTILES, digitize
 from ..functions.hashing import uniform
+from ..runtime import small
 
 
 def weighted_average(value: Column, weight: Column) -> Column:
@@ -28,7 +29,7 @@ def weighted_percentiles(rows: DataFrame, group: str, value: str, weights: dict[
     everything = both.withColumn("group", F.explode(F.array(F.col("group"), F.lit("ALL"))))
     summed = everything.groupBy("group", "x").agg(*[F.sum(f"w_{n}").alias(f"w_{n}") for n in weights])
     edges = everything.groupBy("group").agg(F.percentile_approx("x", [k / 64 for k in range(1, 64)], 1000).alias("edges"))
-    placed = summed.join(F.broadcast(edges), "group").withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
+    placed = summed.join(small(edges), "group").withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
     stacked = placed.select("group", "range", "x", F.inline(F.array(*[F.struct(F.lit(n).alias("weight"), F.col(f"w_{n}").alias("w")) for n in weights])))
     totals = stacked.groupBy("group", "weight", "range").agg(F.sum("w").alias("here"))
     earlier = Window.partitionBy("group", "weight").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -110,8 +110,8 @@ def document_loss(docs: DataFrame, identifier: str, ids: str, window: int = 2048
     """
     targets = docs.select(identifier, F.posexplode(ids).alias("pos", "token"))
     counts = targets.groupBy("token").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    logs = counts.join(F.broadcast(total)).select("token", (-F.log(F.col("n") / F.col("total"))).alias("loss"))  # one row on the right
+    total = counts.agg(F.sum("n")).scalar()
+    logs = counts.select("token", (-F.log(F.col("n") / total)).alias("loss"))
     each = targets.where(F.col("pos") % window != 0).groupBy(identifier, "token").agg(F.count("*").alias("k"))
     scored = each.join(logs, "token").groupBy(identifier).agg(F.sum(F.col("k") * F.col("loss")).alias("s"), F.sum("k").alias("n_pred"))
     return docs.select(identifier).distinct().join(scored, identifier, "left").select(identifier, F.try_divide("s", "n_pred").alias("mean_loss"), F.coalesce("n_pred", F.lit(0)).alias("n_pred"))
@@ -130,8 +130,8 @@ def protocol_losses(blocks_: DataFrame, ids: str = "ids") -> DataFrame:
     pairs = blocks_.select(F.posexplode(F.arrays_zip(F.slice(ids, 1, F.size(ids) - 1).alias("a"), F.slice(ids, 2, F.size(ids) - 1).alias("b"))).alias("pos", "p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     joint = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     given = joint.groupBy("a").agg(F.sum("n").alias("na"))
-    size = joint.agg(F.countDistinct("b").alias("v"))
-    scored = joint.join(given, "a").join(F.broadcast(size)).withColumn("loss", -F.log((F.col("n") + 1) / (F.col("na") + F.col("v"))))
+    size = joint.agg(F.countDistinct("b")).scalar()
+    scored = joint.join(given, "a").withColumn("loss", -F.log((F.col("n") + 1) / (F.col("na") + size)))
     inside = F.col("b") != BOS
     return scored.agg(
         F.try_divide(F.sum(F.col("n") * F.col("loss")), F.sum("n")).alias("concat_loss"), F.try_divide(F.sum(F.when(inside, F.col("n") * F.col("loss"))), F.sum(F.when(inside, F.col("n")))).alias("doc_loss"), F.sum("n").alias("predictions")

@@ -493,8 +493,8 @@ def document_loss(spark, folder):
 @query(f"{_LOSS} select case when n >= 10000 then 2 when n >= 1000 then 1 else 0 end as bucket, sum(n)::bigint as predictions, round(sum(n * loss) / sum(n), 6) as mean_loss from l group by 1")
 def loss_by_frequency(spark, folder):
     counts = tokens.token_counts(_word_docs(spark, folder), "ids")
-    total = counts.agg(F.sum("n").alias("total"))
-    scored = counts.join(F.broadcast(total)).withColumn("loss", -F.log(F.col("n") / F.col("total")))  # one row on the right
+    total = counts.agg(F.sum("n")).scalar()
+    scored = counts.withColumn("loss", -F.log(F.col("n") / total))
     return scored.groupBy(exprs.digitize(F.col("n"), [1e3, 1e4]).alias("bucket")).agg(F.sum("n").alias("predictions"), r(F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("mean_loss"))
 
 

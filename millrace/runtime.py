@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TABLES: list[tuple[SparkSession, str]] = []
 
@@ -52,6 +53,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` for the small side of a join: written, counted, and marked for broadcast only if it has at most ``rows`` rows;
+    beyond that it is joined by a shuffle, whose skewed partitions Spark splits."""
+    kept = materialize(df, "small")
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def release() -> None:
     """Delete every table that ``materialize`` wrote in this process."""
     while _TABLES:
