@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prefix import cut_rows
-from ..runtime import materialize, table
+from ..runtime import materialize, small, table
 from .records import labelled_records, usable_loss
 
 
@@ -27,20 +27,20 @@ def cutoffs(records: DataFrame, targets: DataFrame, group: str = "source", score
     score <= cutoff also keeps the ties). Groups without target, or without rows, or with keep_pct 0 have no cutoff row.
     """
     sizes = records.groupBy(group).agg(F.count("*").alias("n"))
-    wanted = sizes.join(F.broadcast(targets.select(group, "keep_pct")), group)
+    wanted = sizes.join(targets.select(group, "keep_pct"), group)
     wanted = wanted.withColumn("target", F.expr("(n * keep_pct + 99) div 100")).where("target > 0")
     cuts = cut_rows(records, wanted.select(group, "target"), [score, identifier], group=[group])
     return wanted.join(cuts.select(group, F.col(score).alias("cutoff"), F.col(identifier).alias("last")), group)
 
 
 def kept(records: DataFrame, cuts: DataFrame, group: str = "source", score: str = "loss") -> DataFrame:
-    """The records whose score does not exceed their group's cutoff; one cutoff row per source, so it is broadcast."""
-    return records.join(F.broadcast(cuts.select(group, "cutoff")), group).where(F.col(score) <= F.col("cutoff"))
+    """The records whose score does not exceed their group's cutoff (one cutoff row per group)."""
+    return records.join(small(cuts.select(group, "cutoff")), group).where(F.col(score) <= F.col("cutoff"))
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = usable_records(table(spark, folder, "scores"), table(spark, folder, "doc_counts"))
-    return records, cutoffs(records, table(spark, folder, "source_targets"))
+    return records, materialize(cutoffs(records, table(spark, folder, "source_targets")), "cutoffs")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,5 +57,5 @@ def p1_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
 def p1_by_topic(spark: SparkSession, folder: str) -> DataFrame:
     """Per source and topic: usable and kept records under the source's cutoff."""
     records, cuts = _inputs(spark, folder)
-    joined = records.join(F.broadcast(cuts.select("source", "cutoff")), "source")
+    joined = records.join(small(cuts.select("source", "cutoff")), "source")
     return joined.groupBy("source", "topic").agg(F.count("*").alias("n_usable"), F.count_if(F.col("loss") <= F.col("cutoff")).alias("n_kept"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical
-from ..runtime import table
+from ..runtime import small, table
 
 HALF = 31
 MASK = (1 << HALF) - 1
@@ -47,7 +47,7 @@ def with_row_id(pool: DataFrame, catalog: DataFrame) -> DataFrame:
     """Fill a missing ``row_id``: documents of all earlier files + ``shard_offset``. The catalog has a row per file."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = catalog.select("shard", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("__start"))
-    known = pool.join(F.broadcast(starts), "shard", "left")
+    known = pool.join(small(starts), "shard", "left")
     return known.withColumn("row_id", F.coalesce("row_id", F.col("__start") + F.col("shard_offset"))).select(*pool.columns)
 
 
