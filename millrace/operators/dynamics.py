@@ -167,3 +167,22 @@ def parameter_table(parameters: DataFrame) -> DataFrame:
 
     typed = parameters.select(block_type(F.col("name"), F.col("dimensions")).alias("type"), layer_of(F.col("name")).alias("layer"), "numbers")
     return typed.groupBy("type").agg(F.count("*").alias("tensors"), F.sum("numbers").alias("numbers"), F.countDistinct("layer").alias("layers"))
+
+
+def interpolated(rows: DataFrame, group: str, x: str, y: str, at: float) -> DataFrame:
+    """Per group: y at ``at``, linear between the nearest measurements; a measured point is taken as it is, and outside the
+    measured range the result is null. Ties in x: the mean of y."""
+    points = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, x).agg(F.avg(y).alias("__y"))
+    below, above = F.col(x) <= at, F.col(x) >= at
+    ends = points.groupBy(group).agg(
+        F.max(F.when(below, F.col(x))).cast("double").alias("x0"), F.max_by(F.when(below, F.col("__y")), F.when(below, F.col(x))).alias("y0"),
+        F.min(F.when(above, F.col(x))).cast("double").alias("x1"), F.min_by(F.when(above, F.col("__y")), F.when(above, F.col(x))).alias("y1"),
+    )
+    between = F.col("y0") + (F.lit(float(at)) - F.col("x0")) * F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))
+    return ends.select(group, F.when(F.col("x0") == F.col("x1"), F.col("y0")).otherwise(between).alias("value"))
+
+
+def loss_curves(history: DataFrame, run: str, tokens: str, loss: str, k: int = 5) -> DataFrame:
+    """Per run, by tokens: the loss, its rolling mean over the last k points, and the perplexity of that mean."""
+    smooth = rolling_mean(history.where(F.col(loss).isNotNull()), run, [tokens], loss, k)
+    return smooth.select(run, tokens, loss, F.col("rolling").alias("smoothed"), F.exp("rolling").alias("perplexity"))

@@ -180,3 +180,15 @@ def group_quality(scores: DataFrame, group: str, score: str, weight: str, high:
 def clipped(score: Column, eps: float = 1e-6) -> Column:
     """A probability kept within (0, 1); null for null and NaN."""
     return F.when(score.isNotNull() & ~F.isnan(score), clip(score, eps, 1 - eps))
+
+
+def calibration_rows(lines: DataFrame, every: int = 1000, line: str = "line") -> DataFrame:
+    """Every n-th line of each file (from its first): the rows whose tokens calibrate tokens per character."""
+    return lines.where(F.col(line) % every == 0)
+
+
+def snippets(lines: DataFrame, path: str = "path", line: str = "line", text: str = "text", every: int = 997, most: int = 4, chars: int = 600) -> DataFrame:
+    """(path, line, snippet): the first characters of at most ``most`` of the lines 0, n, 2n, ... of each file."""
+    place = Window.partitionBy(path).orderBy(line)
+    picked = lines.where(F.col(line) % every == 0).withColumn("__rn", F.row_number().over(place)).where(F.col("__rn") <= most)
+    return picked.select(path, line, F.substring(text, 1, chars).alias("snippet"))

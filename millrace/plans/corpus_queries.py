@@ -551,3 +551,43 @@ def exact_percentiles(spark, folder):
     found = prefix.exact_quantiles(clean_scores(spark, folder), "mean_loss", [0.25, 0.5, 0.99], "topic")
     at = lambda q, n: r(F.max(F.when(F.col("q") == q, F.col("quantile")))).alias(n)
     return found.groupBy("topic").agg(at(0.25, "p25"), at(0.5, "p50"), at(0.99, "p99"))
+
+
+_DIR_GROUPS = """dirs as (select regexp_extract(file_path, '([^/]+)/[^/]+$', 1) as d, n_docs from doc_counts),
+mixes as (select case when d like 'common_crawl-%' then 'cc:' || regexp_replace(regexp_replace(d, '-[0-9]+$', ''), '^[^-]*-', '') when d like 'olmocr_science_pdfs-%' then 'pdf:' || substr(d, 21) when d like 'stack_edu-%' then 'code:' || substr(d, 11) else d end as topic, sum(n_docs) as n from dirs group by 1)"""
+
+
+@query(f"""with {POOL}, {_DIR_GROUPS}, m as (select topic, n / sum(n) over () as mix_share from mixes), p as (select topic, count(*) / (select count(*) from clean) as pool_share, sum(n_tokens_full) / (select sum(n_tokens_full) from clean) as token_share, avg(mean_loss) as mean_loss, stddev_samp(mean_loss) as std from clean group by topic)
+select topic, round(mix_share, 6) as mix_share, round(coalesce(pool_share, 0), 6) as pool_share, round(100 * (coalesce(pool_share, 0) - mix_share), 4) as diff_pp, round(coalesce(token_share, 0), 6) as token_share, round(mean_loss, 6) as mean_loss, round(std, 6) as std, abs(coalesce(pool_share, 0) - mix_share) <= 0.001 as ok from m left join p using (topic)""")
+def pool_report(spark, folder):
+    """Per topic: share in the whole mix, share of the pool's rows and tokens, loss, and whether the shares agree within 0.1 points."""
+    rows = clean_pool(spark, folder)
+    cells = table(spark, folder, "doc_counts").select(labels.parse_dir(labels.directory(F.col("file_path"))).alias("d"), "n_docs")
+    mix = stats.shares(cells.select(labels.group_name(F.col("d.source"), F.col("d.topic")).alias("topic"), "n_docs"), "topic", "n_docs").select("topic", F.col("size_share").alias("mix_share"))
+    pool = stats.shares(rows, "topic", "n_tokens_full").select("topic", F.col("docs_share").alias("pool_share"), F.col("size_share").alias("token_share"))
+    joined = mix.join(pool, "topic", "left").join(select.group_stats(rows, "topic", "mean_loss"), "topic", "left").fillna(0.0, ["pool_share", "token_share"])
+    diff = F.col("pool_share") - F.col("mix_share")
+    return joined.select("topic", r("mix_share").alias("mix_share"), r("pool_share").alias("pool_share"), r(100 * diff, 4).alias("diff_pp"), r("token_share").alias("token_share"), r("mean").alias("mean_loss"), r("std").alias("std"), (F.abs(diff) <= 0.001).alias("ok"))
+
+
+@query(f"""with {POOL} select count(*) as rows, sum(n_tokens_full)::bigint as tokens, round(avg(n_tokens_full), 4) as tokens_per_row, round(avg((abs(z) >= 3)::int), 6) as clipped_share, round(median(z), 6) as median_z, round(sum(z * n_tokens_full) / sum(n_tokens_full), 6) as weighted_z from clean""")
+def pool_summary(spark, folder):
+    rows = clean_pool(spark, folder)
+    out = rows.agg(
+        F.count("*").alias("rows"), F.sum("n_tokens_full").alias("tokens"), r(F.avg("n_tokens_full"), 4).alias("tokens_per_row"), r(F.avg((F.abs("z") >= 3).cast("double"))).alias("clipped_share"),
+        r(F.median("z")).alias("median_z"), r(stats.weighted_average(F.col("z"), F.col("n_tokens_full"))).alias("weighted_z"),
+    )
+    return out
+
+
+@query("select source, doc_id, substr(text, 1, 600) as snippet from (select *, row_number() over (partition by source order by doc_id) as rn from documents where doc_id % 97 = 0 and source is not null) where rn <= 4")
+def snippets(spark, folder):
+    docs = table(spark, folder, "documents").where("source is not null")
+    return quality.snippets(docs, "source", "doc_id", "text", 97)
+
+
+@query("with c as (select source, sum(n_chars)::bigint as chars, sum(len(regexp_extract_all(text, '[a-z]+')))::bigint as words from documents where doc_id % 10 = 0 and text is not null group by source) select source, round(words / nullif(chars, 0), 6) as words_per_char from c")
+def calibration_rows(spark, folder):
+    rows = quality.calibration_rows(table(spark, folder, "documents").where("text is not null"), 10, "doc_id")
+    totals = rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.sum(F.size(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("words"))
+    return totals.select("source", r(F.try_divide("words", "chars")).alias("words_per_char"))

@@ -297,3 +297,18 @@ def event_sessions(spark, folder):
 def first_values(spark, folder):
     first = F.first("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, folder, "events").select("event_id", first.alias("first_value"))
+
+
+@query("""with b as (select event_type, max(event_id) filter (event_id <= 5000) as x0, min(event_id) filter (event_id >= 5000) as x1 from events group by 1), v as (select b.*, a.value as y0, c.value as y1 from b left join events a on a.event_id = x0 left join events c on c.event_id = x1)
+select event_type as run, round(case when x0 = x1 then y0 else y0 + (5000 - x0) * (y1 - y0) / (x1 - x0) end, 6) as value from v""")
+def interpolated(spark, folder):
+    found = dynamics.interpolated(table(spark, folder, "events"), "event_type", "event_id", "value", 5000)
+    return found.select(F.col("event_type").alias("run"), r("value").alias("value"))
+
+
+@query("""with h as (select event_type as run, event_id as tokens, value / 100 as loss from events), s as (select *, avg(loss) over (partition by run order by tokens rows between 4 preceding and current row) as m from h)
+select run, tokens, round(m, 6) as smoothed, round(exp(m), 4) as perplexity from s""")
+def loss_curves(spark, folder):
+    history = table(spark, folder, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("tokens"), (F.col("value") / 100).alias("loss"))
+    found = dynamics.loss_curves(history, "run", "tokens", "loss")
+    return found.select("run", "tokens", r("smoothed").alias("smoothed"), r("perplexity", 4).alias("perplexity"))

@@ -362,3 +362,22 @@ def test_streams(spark, tmp_path, folder):
     ingest.write_once(first, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "o2"))
     assert got.count() == got.select("user_id").distinct().count() == spark.read.parquet(str(source)).select("user_id").distinct().count()
+
+
+def test_interpolation(spark):
+    rows = frame(spark, [("a", 1, 2.0), ("a", 3, 4.0), ("b", 2, 7.0), ("c", 5, 1.0), ("d", None, 1.0)], "g string, x int, y double")
+    assert {r.g: r.value for r in dynamics.interpolated(rows, "g", "x", "y", 2).collect()} == {"a": 3.0, "b": 7.0, "c": None}
+
+
+def test_functions_in_sql(spark):
+    from millrace.functions.registry import register
+
+    register(spark)
+    row = spark.sql("select blake2_key('hello') as k, copy_bucket(17) as b, qc_passes(cast('nan' as double), 1.0) as q").first()
+    assert (row.k, row.b, row.q) == (9022087748821825191, "17-100", True)
+
+
+def test_unique_scores_reach_all_rows(spark):
+    rows = frame(spark, [("k", 1), ("k", 2), (None, 3)], "key string, i int")
+    got = tokens.score_unique(rows, "key", lambda once: once.where("key is not null").select("key", F.lit(1.5).alias("score")))
+    assert {r.i: r.score for r in got.collect()} == {1: 1.5, 2: 1.5, 3: None}
