@@ -43,11 +43,10 @@ def deduplicated(rows: DataFrame, key: str, rank: str, eval_from: int) -> DataFr
 
 def uniform_selection(rows: DataFrame, seed: int, identifier: str, size: Column, target: float | None = None, fraction: float | None = None) -> DataFrame:
     """A uniform selection in a fresh seeded order: the first prefix whose size reaches ``target`` (the row that crosses it
-    included), or the first int(fraction * n) rows."""
+    included; all rows if there is less), or the first int(fraction * n) rows."""
     ordered = rows.withColumn("__h", hash64(seed, F.col(identifier)))
-    spark = rows.sparkSession
     if target is not None:
-        goal, weight = spark.range(1).select(F.lit(int(-(-target // 1))).cast("long").alias("target")), size
+        goal, weight = rows.agg(F.least(F.lit(int(-(-target // 1))).cast("long"), F.sum(size).cast("long")).alias("target")), size
     else:
         goal, weight = rows.agg(F.floor(F.count("*") * F.lit(fraction)).cast("long").alias("target")), None
     goal = goal.where("target > 0")

@@ -349,12 +349,12 @@ THRESHOLDS = [0.5, 1, 2, 5, 10, 20, 30, 50, 80, 100, 150, 200, 300, 400]
 _GRID = ", ".join(f"({float(t)})" for t in THRESHOLDS)
 
 
-@query(f"select threshold, round((select count(*) from events where value >= threshold) / (select count(*) from events), 6) as share_docs, round((select sum(event_id % 7) from events where value >= threshold) / (select sum(event_id % 7) from events), 6) as share_weight from (values {_GRID}) v(threshold)")
+@query(f"select threshold, round((select count(*) from events where value >= threshold) / (select count(*) from events), 6) as share_docs, round(coalesce((select sum(event_id % 7) from events where value >= threshold), 0) / (select sum(event_id % 7) from events), 6) as share_weight from (values {_GRID}) v(threshold)")
 def qc_survival(spark, folder):
     return quality.survival(table(spark, folder, "events"), "value", F.col("event_id") % 7, THRESHOLDS)
 
 
-@query(f"""with s as (select threshold, round((select sum(event_id % 7) from events where value >= threshold) / (select sum(event_id % 7) from events), 6) as a from (values {_GRID}) v(threshold))
+@query(f"""with s as (select threshold, round(coalesce((select sum(event_id % 7) from events where value >= threshold), 0) / (select sum(event_id % 7) from events), 6) as a from (values {_GRID}) v(threshold))
 select threshold, round(a * 1000.0 + 500.0, 4) as keep_above, round(1000.0 - a * 1000.0 + 500.0, 4) as keep_below from s""")
 def tokens_left(spark, folder):
     curve = quality.survival(table(spark, folder, "events"), "value", F.col("event_id") % 7, THRESHOLDS)

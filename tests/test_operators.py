@@ -61,6 +61,7 @@ def test_dedup(spark):
 def test_uniform_selection(spark):
     rows = spark.range(100).select(F.col("id"), F.lit(3).cast("long").alias("s"))
     assert dedup.uniform_selection(rows, 1, "id", F.col("s"), target=10).count() == 4
+    assert dedup.uniform_selection(rows, 1, "id", F.col("s"), target=1000).count() == 100
     assert dedup.uniform_selection(rows, 1, "id", F.col("s"), fraction=0.25).count() == 25
     assert dedup.uniform_selection(rows, 1, "id", F.col("s"), fraction=0.0).count() == 0
 
