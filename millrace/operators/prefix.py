@@ -32,7 +32,7 @@ def running_total(df: DataFrame, order: Sequence[str], weight: Column | None = N
     """Add ``name``: the inclusive running total of ``weight`` (1 by default) within ``group``, by ``order`` ascending.
 
     ``order`` must end in a column that makes it unique, else equal rows are ordered arbitrarily. Null weights count as 0,
-    null keys come first, an empty table stays empty.
+    null keys come first, an empty table stays empty; a column ``name`` of ``df`` is replaced.
     """
     amount = F.lit(1).cast("long") if weight is None else F.coalesce(weight, F.lit(0))
     ranged = _ranged(df.withColumn("__w", amount), group, order)
@@ -45,7 +45,7 @@ def running_total(df: DataFrame, order: Sequence[str], weight: Column | None = N
     for c in same[1:]:
         condition = condition & c
     joined = local.join(offsets, condition)  # at most groups x partitions offsets: small, but joined by whatever AQE finds best
-    return joined.select(*[local[c] for c in df.columns], (F.col("__local") + F.col("__before")).alias(name))
+    return joined.select(*[local[c] for c in df.columns if c != name], (F.col("__local") + F.col("__before")).alias(name))
 
 
 def cut_rows(df: DataFrame, targets: DataFrame, order: Sequence[str], weight: Column | None = None, group: Sequence[str] = (), reach: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from .prefix import cut_rows, exact_quantiles, running_total, up_to
 def z_scores(rows: DataFrame, group: str, value: str, trusted: Column, limit: float = 3.0) -> DataFrame:
     """Add ``z``: (value - mean) / sample deviation of the group's trusted rows, clipped; 0 for untrusted rows, groups of
     one, and missing values. The statistics of the groups are aggregated and joined back, so no group is sorted."""
+    rows = rows.drop("z")
     fine = trusted & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     stats = rows.where(fine).groupBy(F.col(group).alias("__group")).agg(F.avg(F.col(value).cast("double")).alias("__mu"), F.stddev_samp(F.col(value).cast("double")).alias("__sd"))
     joined = rows.join(stats, F.col(group).eqNullSafe(F.col("__group")), "left")
@@ -69,9 +70,9 @@ def band_cuts(rows: DataFrame, group: str | None, value: str, size: str, drop_lo
 
 def in_band(rows: DataFrame, cuts: DataFrame, group: str | None, value: str) -> DataFrame:
     """Rows within their group's cuts, both included. One cut row per group."""
-    keyed = rows.withColumn("group", F.col(group) if group else F.lit("ALL")) if group != "group" else rows
-    out = keyed.join(small(cuts.select("group", "low_cut", "high_cut")), "group").where(F.col(value).between(F.col("low_cut"), F.col("high_cut")))
-    return out.select(*rows.columns)
+    keyed = rows.withColumn("__group", F.col(group) if group else F.lit("ALL"))
+    bounds = small(cuts.select(F.col("group").alias("__group"), F.col("low_cut").alias("__low"), F.col("high_cut").alias("__high")))
+    return keyed.join(bounds, "__group").where(F.col(value).between(F.col("__low"), F.col("__high"))).select(*rows.columns)
 
 
 def kept_runs(rows: DataFrame, order: str, kept: Column) -> DataFrame:

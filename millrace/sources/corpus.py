@@ -73,8 +73,9 @@ def locate(rows: DataFrame, catalog: DataFrame, row_id: str = "row_id") -> DataF
     """Rows with the ``shard`` and ``shard_offset`` of their row id; ids outside the catalog get nulls.
 
     The bounds of the files (one row each, so of the size of the catalog) are one sorted literal array, searched per row; no
-    range join multiplies the rows.
+    range join multiplies the rows. Columns of these names are replaced.
     """
+    rows = rows.drop("shard", "shard_offset")
     bounds = [(r.hi, r.lo, r.shard) for r in with_offsets(catalog).select("hi", "lo", "shard").orderBy("lo").collect()]
     if not bounds:
         return rows.withColumns({"shard": F.lit(None).cast("int"), "shard_offset": F.lit(None).cast("long")})

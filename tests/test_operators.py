@@ -382,3 +382,14 @@ def test_unique_scores_reach_all_rows(spark):
     rows = frame(spark, [("k", 1), ("k", 2), (None, 3)], "key string, i int")
     got = tokens.score_unique(rows, "key", lambda once: once.where("key is not null").select("key", F.lit(1.5).alias("score")))
     assert {r.i: r.score for r in got.collect()} == {1: 1.5, 2: 1.5, 3: None}
+
+
+def test_columns_of_the_same_names(spark):
+    rows = frame(spark, [("a", 1.0, 50, 9.0, 1), ("a", 3.0, 50, 9.0, 2)], "topic string, mean_loss double, group int, z double, cum int")
+    scored = select.z_scores(rows, "topic", "mean_loss", F.lit(True))
+    assert scored.columns.count("z") == 1 and sorted(round(r.z, 3) for r in scored.collect()) == [-0.707, 0.707]
+    assert prefix.running_total(rows, ["mean_loss"]).columns.count("cum") == 1
+    cuts = select.band_cuts(rows, "topic", "mean_loss", "cum", 0, 10)
+    assert [r.group for r in select.in_band(rows, cuts, "topic", "mean_loss").collect()] == [50]
+    catalog = frame(spark, [(0, "data/wiki/a", 5)], "shard int, file_path string, n_docs long")
+    assert corpus.locate(frame(spark, [(3, 7)], "row_id long, shard int"), catalog).first().shard == 0
