@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import stage
+from .prefix import ranges
 
 PHASE_METRICS = ["grad_cos_prev", "overshoot_norm", "overshoot", "upd_grad_align", "D1>0", "upd_rel", "upd_row_cv", "upd_erank_frac", "delta_erank_frac", "w_srank"]
 
@@ -143,16 +144,30 @@ def lagged(rows: DataFrame, group: Sequence[str], order: str, value: str) -> Dat
 def as_of(left: DataFrame, right: DataFrame, on: str, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Left rows with the right side's last ``value`` at or before ``on`` (backward as-of join), per group.
 
-    Both sides are one ordered stream in which the last known value is carried forward; right rows come before left rows of
-    the same key. A group must fit a task: give a group column that bounds it.
+    Both sides are one stream in ranges of (group, on), in which the last known value is carried forward: within each range,
+    and from range to range by one row each, so a group may be of any size. Right rows come before left rows of the same key;
+    of right rows of equal key the greatest value counts. Null right values are skipped; a left row before all right rows
+    gets null. A column ``value`` of the left side is replaced.
     """
-    columns = left.columns
-    stream = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)}).unionByName(
-        right.select(*group, on, F.col(value).alias("__v")).withColumn("__side", F.lit(0)), allowMissingColumns=True
-    )
-    order = Window.partitionBy(*group).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stream.withColumn(value, F.last("__v", ignorenulls=True).over(order))
-    return carried.where("__side = 1").select(*[c for c in columns if c != value], value)
+    kept = [c for c in left.columns if c != value]
+    kind = right.schema[value].dataType
+    stream = left.select(*kept).withColumns({"__v": F.lit(None).cast(kind), "__side": F.lit(1)}).unionByName(
+        right.where(F.col(value).isNotNull()).select(*group, on, F.col(value).alias("__v")).withColumn("__side", F.lit(0)), allowMissingColumns=True
+    )
+    order = [on, "__side", "__v"]
+    ranged = ranges(stream, group, order)
+    keys = [*group, "__part"]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("__here", F.last("__v", ignorenulls=True).over(inside)).where("__side = 1")
+    ends = ranged.groupBy(*keys).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__last"))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__before", F.last("__last", ignorenulls=True).over(earlier))  # a row per group and range
+    carried = carried.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        same = one if same is None else same & one
+    return local.join(carried, same, "left").select(*kept, F.coalesce("__here", "__before").alias(value))
 
 
 def step_times(log: DataFrame, step: str, seconds: str, tokens: str, skip: int = 5) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, partitions, small
 
 
-def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ranges(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` in ranges of (group, order), written once, with the number ``__part`` of each row's range."""
     spread = df.repartitionByRange(partitions(df.sparkSession), *group, *order)
     return materialize(spread.withColumn("__part", F.spark_partition_id()), "ranged")
 
@@ -35,7 +36,7 @@ def running_total(df: DataFrame, order: Sequence[str], weight: Column | None = N
     null keys come first, an empty table stays empty; a column ``name`` of ``df`` is replaced.
     """
     amount = F.lit(1).cast("long") if weight is None else F.coalesce(weight, F.lit(0))
-    ranged = _ranged(df.withColumn("__w", amount), group, order)
+    ranged = ranges(df.withColumn("__w", amount), group, order)
     inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__local", F.sum("__w").over(inside))
     keys = [*group, "__part"]
@@ -58,7 +59,7 @@ def cut_rows(df: DataFrame, targets: DataFrame, order: Sequence[str], weight: Co
     """
     amount = F.lit(1).cast("long") if weight is None else F.coalesce(weight, F.lit(0))
     slim = df.select(*group, *order, amount.alias("__w"))
-    ranged = _ranged(slim, group, order)
+    ranged = ranges(slim, group, order)
     offsets = _offsets(ranged, group, F.col("__w"))
     offsets = offsets.join(targets, list(group)) if group else offsets.withColumn("target", targets.select("target").scalar())
     total = F.col("__before") + F.col("__here")
@@ -96,7 +97,7 @@ def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Se
     ``positions`` has the columns ``group`` and ``position``, a few rows per group. Only the ranges that hold one of them
     are numbered row by row.
     """
-    ranged = _ranged(df.select(*group, *order), group, order)
+    ranged = ranges(df.select(*group, *order), group, order)
     offsets = _offsets(ranged, group, F.lit(1).cast("long"))
     wanted = small(positions.select(*group, "position").distinct())
     hit = offsets.join(wanted, list(group)).where((F.col("__before") < F.col("position")) & (F.col("position") <= F.col("__before") + F.col("__here")))

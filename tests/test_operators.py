@@ -393,3 +393,13 @@ def test_columns_of_the_same_names(spark):
     assert [r.group for r in select.in_band(rows, cuts, "topic", "mean_loss").collect()] == [50]
     catalog = frame(spark, [(0, "data/wiki/a", 5)], "shard int, file_path string, n_docs long")
     assert corpus.locate(frame(spark, [(3, 7)], "row_id long, shard int"), catalog).first().shard == 0
+
+
+def test_as_of_equals_brute_force(spark):
+    rng = random.Random(8)
+    left = [(rng.choice(["h", "h", "h", None]), rng.randint(0, 60), i) for i in range(300)]
+    right = [(rng.choice(["h", None, "z"]), rng.randint(0, 60), rng.choice([None, float(i)])) for i in range(80)]
+    got = {r.i: r.v for r in dynamics.as_of(frame(spark, left, "g string, t int, i int"), frame(spark, right, "g string, t int, v double"), "t", "v", ["g"]).collect()}
+    for g, t, i in left:
+        past = [(u, v) for h, u, v in right if h == g and u <= t and v is not None]
+        assert got[i] == (max(past)[1] if past else None)
