@@ -180,8 +180,12 @@ def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
     # the join keeps few texts: the chosen ids go to the texts, not the texts through a shuffle (at most ``bound`` ids)
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "levels", "text", "written")
     counted = texts.mapInArrow(count, "doc_id long, levels array<int>, language string, words array<string>, counts array<int>")
-    rows = sorted(counted.collect(), key=lambda r: r.doc_id)
-    return [(r.language, list(r.levels), dict(zip(r.words, r.counts))) for r in rows if r.words]
+    found, same = [], {}
+    for batch in counted.toArrow().sort_by("doc_id").to_batches(max_chunksize=500):
+        for r in batch.to_pylist():
+            if r["words"]:  # each word is one string, however many texts have it
+                found.append((r["language"], r["levels"], {same.setdefault(w, w): n for w, n in zip(r["words"], r["counts"])}))
+    return found
 
 
 def graded(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
