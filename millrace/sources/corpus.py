@@ -18,13 +18,22 @@ QC_FIELD = r'"dolma2_qc":\s*(\{[^{}]*\})'  # fixed value: where a line has its q
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(``path``, ``line``, ``value``): the lines of text files that are not blank; Spark picks the codec by the suffix
-    (.gz, .zst). A compressed file is one task, so work on the lines should follow a repartition."""
-    read = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("__at"))
+    """(``path``, ``line``, ``value``): the lines of text files that are not blank, numbered from 0; Spark picks the codec by
+    the suffix (.gz, .zst).
+
+    Lines are numbered within each split of a file, and the splits' counts give the offsets, so a large file that can be split
+    is no single task. A compressed file is one split: work on its lines should follow a repartition.
+    """
+    read = spark.read.text(paths, wholetext=False).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), "value", F.monotonically_increasing_id().alias("__at")
+    )
     filled = read.where(F.trim("value") != "")
-    # lines of a file have rising ids: files are read in order, and compressed ones are not split
-    at = Window.partitionBy("path").orderBy("__at")
-    return filled.select("path", (F.row_number().over(at) - 1).cast("long").alias("line"), "value")
+    inside = Window.partitionBy("path", "__block").orderBy("__at")
+    numbered = filled.withColumn("__rn", F.row_number().over(inside) - 1)
+    before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    starts = filled.groupBy("path", "__block").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    joined = numbered.join(starts.select("path", "__block", "__start"), ["path", "__block"])
+    return joined.select("path", (F.col("__start") + F.col("__rn")).cast("long").alias("line"), "value")
 
 
 def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -403,3 +403,16 @@ def test_as_of_equals_brute_force(spark):
     for g, t, i in left:
         past = [(u, v) for h, u, v in right if h == g and u <= t and v is not None]
         assert got[i] == (max(past)[1] if past else None)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    wanted = [f"line {i}" for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n\n".join(wanted) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = corpus.lines(spark, str(tmp_path / "a.txt"))
+        assert got.select("value").rdd.getNumPartitions() >= 1
+        assert [r.value for r in got.orderBy("line").collect()] == wanted and got.agg(F.max("line")).first()[0] == 4999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
