@@ -116,12 +116,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights @ z, -30, 30)))
 
 
-def _grades(texts: list[tuple[str, list[int], dict[str, int]]]) -> dict[str, dict[str, float]]:
-    """Acquisition grades of words and word families from graded texts (language, levels, word counts)."""
+def _grades(texts: list[tuple[str, list[float], dict[str, int]]]) -> dict[str, dict[str, float]]:
+    """Acquisition grades of words and word families from graded texts (language, share of the raters per level, word counts)."""
     uses: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
     texts_of: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(LEVELS))
-    for name, levels, counts in texts:
-        share = np.bincount(np.array(levels) - 1, minlength=LEVELS) / len(levels)
+    for name, raters, counts in texts:
+        share = np.array(raters)
         texts_of[name] += share
         own = uses[name]
         for w in [*counts, *{"~" + w[-FAMILY:] for w in counts if len(w) > FAMILY + 2}]:
@@ -140,16 +140,16 @@ def _grades(texts: list[tuple[str, list[int], dict[str, int]]]) -> dict[str, dic
     return out
 
 
-def fit(texts: list[tuple[str, list[int], dict[str, int]]]) -> Model:
+def fit(texts: list[tuple[str, list[float], dict[str, int]]]) -> Model:
     """The model of graded texts; folds are dealt by position. Without usable texts the model knows no word."""
     model = Model()
     rows, wanted = [], []
     for fold in range(FOLDS):
         part = Model(grades=_grades([t for i, t in enumerate(texts) if i % FOLDS != fold]))
-        for name, levels, counts in texts[fold::FOLDS]:
+        for name, raters, counts in texts[fold::FOLDS]:
             x = part.features(name, counts)
             if x is not None:
-                rows.append(x), wanted.append([np.mean([v > k for v in levels]) for k in range(1, LEVELS)])
+                rows.append(x), wanted.append([sum(raters[k:]) for k in range(1, LEVELS)])
     model.grades = _grades(texts)
     if rows:
         x, y = np.array(rows), np.array(wanted)
@@ -159,10 +159,10 @@ def fit(texts: list[tuple[str, list[int], dict[str, int]]]) -> Model:
     return model
 
 
-def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, list[int], dict[str, int]]]:
-    """At most ``bound`` graded texts, for the driver: language, levels, word counts. Labels outside 1 .. LEVELS are ignored."""
+def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, list[float], dict[str, int]]]:
+    """At most ``bound`` graded texts, for the driver: language, share of the raters per level, word counts. Labels outside 1 .. LEVELS are ignored."""
     fair = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
-    by_doc = fair.groupBy("doc_id").agg(F.sort_array(F.slice(F.collect_list("reading_level"), 1, 100)).alias("levels"))
+    by_doc = fair.groupBy("doc_id").agg(F.array(*[F.count_if(F.col("reading_level") == k) / F.count("*") for k in range(1, LEVELS + 1)]).alias("levels"))
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED)
 
     # the join keeps few texts: the chosen ids go to the texts, not the texts through a shuffle (at most ``bound`` ids)
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "levels", "text", "written")
-    counted = texts.mapInArrow(count, "doc_id long, levels array<int>, language string, words array<string>, counts array<int>")
+    counted = texts.mapInArrow(count, "doc_id long, levels array<double>, language string, words array<string>, counts array<int>")
     found, same = [], {}
     for batch in counted.toArrow().sort_by("doc_id").to_batches(max_chunksize=500):
         for r in batch.to_pylist():

@@ -354,7 +354,7 @@ def test_levels_of_odd_input(spark):
     assert sorted(r.doc_id for r in running.collect()) == [3, 5]
     labels = frame(spark, [(3, 1, "r"), (3, None, "r"), (5, 9, "r"), (77, 2, "r")], "doc_id long, reading_level int, rater string")
     texts = level.graded_texts(running, labels)
-    assert [(t[0], t[1]) for t in texts] == [("und", [1])]
+    assert [(t[0], t[1]) for t in texts] == [("und", [1.0, 0.0, 0.0, 0.0])]
     assert {r.doc_id: (r.language, r.level) for r in level.graded(running, level.fit(texts), ["doc_id"]).collect()} == {3: ("und", None), 5: ("en", None)}
     assert level.graded(running.limit(0), level.fit([]), ["doc_id"]).count() == 0
 
