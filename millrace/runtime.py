@@ -7,13 +7,16 @@ survive the loss of executors, and a plan that needs an intermediate result twic
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TABLES: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "millrace", cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -31,7 +34,25 @@ def session(app: str = "millrace", cores: int | str = "*", memory: str = "8g", *
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the session's Python workers (once per application), wherever they run and whatever their path
+    is: Spark's file server hands them an archive of its modules."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("millrace", os.path.relpath(path, root)))
+        context.addPyFile(archive)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back. The tables live until ``release`` or the end of the process."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append((spark, path))
@@ -81,7 +102,7 @@ atexit.register(release)
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """A parquet table of a data folder. ``spread``: for heavy work on each row; a table of fewer splits than there are cores
     (one small file, say) is dealt to all of them, a larger one is left as it is read."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = ship(spark).read.parquet(f"{folder}/{name}.parquet")
     if spread and rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
         return rows.repartition(cores)
     return rows
