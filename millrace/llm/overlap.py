@@ -1,11 +1,13 @@
 """Problem 4: texts of the evaluation splits that occur, exactly or almost, among the training records.
 
 A weighted cosine join. A text is a vector of terms: five-word shingles of its normalised form, of which the k-th occurrence is
-a term of its own. A term's weight falls with the number of evaluation texts that have it. Terms are ordered from rare to
-frequent, the same way on both sides. If two vectors have a cosine of at least t, their first common term lies where the rest
-of either vector still has a norm of at least t, and where its products with the largest weights of the other side still sum to
-t. So the inverted lists hold only those prefixes, and a pair is a candidate if it shares a listed term. For the candidates
-the dot product is computed exactly, and with it the share of the longer text's terms that the other has.
+a term of its own. The bounds take unit weights, with which the cosine is never less than the share of the longer text's terms
+that the other has; so no pair of sufficient share is lost, however common its terms are. Terms are ordered from rare to
+frequent, the same way on both sides. If two vectors have a share of at least t, their first common term lies where the rest
+of either vector still makes up t of it, where the largest contributions that the other side can make to the rest still sum to
+t, and where the shorter rest makes up t of the longer vector. So the inverted lists hold only those prefixes, and a pair is a
+candidate if it shares a listed term. For the candidates the share is counted exactly, and the weighted dot product (a term's
+weight falls with the number of evaluation texts that have it) is reported with it.
 
 Of the training side only terms matter that some evaluation text has. A bit map of their hashes, of fixed size whatever the
 data (2^27 bits), goes to the tasks that read the training texts; it has no false negatives, and false positives fall out in
@@ -13,8 +15,8 @@ the join. A text whose terms are mostly unknown to the bit map can't reach the b
 
 Texts with the same terms are one vector, so copies are neither joined pair by pair nor make long lists; they come back with
 the ranks at the end. The case is fixed by the project: about three quarters of the longer text reappear apart from small
-differences of writing, other pairs share less than half. A changed word spoils five shingles, so the join's bounds (COSINE,
-SHARE) lie below that, and an exact check of the pairs found follows: the share of the longer text's three-word shingles that
+differences of writing, other pairs share less than half. A changed word spoils five shingles, so the join's bound (SHARE)
+lies below that, and an exact check of the pairs found follows: the share of the longer text's three-word shingles that
 the other has, which is 0.6 or more in true cases and below 0.4 in others; the limit is FINE_SHARE.
 """
 
@@ -35,7 +37,6 @@ from ..functions.labels import canonical
 from ..runtime import materialize, partitions, table
 
 WORDS, FINE_WORDS = 5, 3
-COSINE = 0.3
 SHARE = 0.36
 FINE_SHARE = 0.49
 BITS = 27  # of the bit map: 16 MB
@@ -147,12 +148,11 @@ def _probe(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def related(texts: DataFrame, keep: list[str], bits: np.ndarray, cosine: float, share: float) -> DataFrame:
-    """As ``vectors``, with only the terms of the bit map; texts that can't reach the bounds are left out: with m of n terms
-    known, of weight at most 1 while unknown ones have weight 1, the cosine is at most sqrt(m / n), the share m / n."""
+def related(texts: DataFrame, keep: list[str], bits: np.ndarray, share: float) -> DataFrame:
+    """As ``vectors``, with only the terms of the bit map; texts that can't reach the bound are left out: with m of n terms
+    known, the share is at most m / n."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
     schema = _with_vector(texts, keep)
-    least = max(cosine * cosine, share)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, bits = Terms(), sent.value
@@ -161,7 +161,7 @@ def related(texts: DataFrame, keep: list[str], bits: np.ndarray, cosine: float,
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):
                 every = terms.of(text)
                 some = every[_probe(bits, every)]
-                if len(some) and len(some) >= least * len(every) - 1e-9:
+                if len(some) and len(some) >= share * len(every) - 1e-9:
                     rows.append(i), found.append(some), sizes.append(len(every)), names.append(_identity(every))
             picked = batch.take(pa.array(rows, pa.int32()))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
@@ -186,12 +186,12 @@ def fine_check(pairs: DataFrame, left: DataFrame, right: DataFrame, left_vec: Da
     return both.where(common >= share * F.greatest(F.size("left_vec_terms"), F.size("right_vec_terms"))).select(*pairs.columns)
 
 
-def cosine_join(left: DataFrame, right: DataFrame, cosine: float = COSINE, share: float = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cosine_join(left: DataFrame, right: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of texts of two tables (``id``, ``text``) as classes of equal vectors.
 
-    Result: pairs (``left_vec``, ``right_vec``, ``cosine``, ``share``) with a cosine of at least ``cosine`` and a share of the
-    longer text of at least ``share``, and the members (``id``, ``vec``) of the left and the right vectors. Null and blank texts
-    are in no pair. All vectors of both sides are compared; nothing is capped.
+    Result: pairs (``left_vec``, ``right_vec``, ``cosine``, ``share``) with a share of the longer text of at least ``share``, and
+    the members (``id``, ``vec``) of the left and the right vectors. The weighted cosine is reported and bounds nothing. Null
+    and blank texts are in no pair. All vectors of both sides are compared; nothing is capped.
     """
     left_all = materialize(vectors(left, ["id"]), "left")
     left_once = left_all.groupBy("vec").agg(F.min("id").alias("l"), F.first("n").alias("n"), F.first("terms").alias("terms"))
@@ -199,33 +199,35 @@ def cosine_join(left: DataFrame, right: DataFrame, cosine: float = COSINE, share
     total = left_all.select("vec").distinct().count()
     weight = F.when(F.col("df") > 0, F.log1p(F.lit(float(total)) / F.col("df")) / F.lit(float(np.log1p(max(total, 1)))))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    enough = lambda m, n: F.col(m) >= share * F.col(n) - 1e-9
 
-    right_all = materialize(related(right, ["id"], bitmap(postings), cosine, share), "right")
+    right_all = materialize(related(right, ["id"], bitmap(postings), share), "right")
     right_once = right_all.groupBy("vec").agg(F.min("id").alias("r"), F.first("n").alias("n"), F.first("terms").alias("terms"))
     near = right_once.select("r", "n", F.explode("terms").alias("term")).join(df, "term").withColumn("w", weight)
     sums = near.groupBy("r").agg(F.first("n").alias("rn"), F.count("*").alias("m"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    norms = sums.withColumn("r2", F.col("rn") - F.col("m") + F.col("w2")).where((F.col("m") >= share * F.col("rn")) & (F.col("w2") >= cosine * cosine * F.col("r2") - 1e-9))
+    norms = sums.withColumn("r2", F.col("rn") - F.col("m") + F.col("w2")).where(enough("m", "rn"))
     near = materialize(near.drop("n").join(norms.select("r", "rn", "r2"), "r"), "near")
 
     weighted = postings.join(df, "term").withColumn("w", weight)
     left_norms = weighted.groupBy("l").agg(F.sum(F.col("w") * F.col("w")).alias("l2"))
-    shared = near.select("term").distinct()
-    # a left text can only be in a pair if enough of its terms occur on the right
-    touched = postings.join(shared, "term", "left_semi").groupBy("l").agg(F.count("*").alias("m"), F.first("n").alias("ln")).where(F.col("m") >= share * F.col("ln"))
-    far = materialize(weighted.join(touched.select("l", "ln"), "l").join(left_norms, "l").select("l", "ln", "l2", "term", "df", "w"), "far")
-    most = far.groupBy("term").agg(F.max(F.col("w") / F.sqrt("l2")).alias("most"))
+    # a left text can only be in a pair if enough of its terms occur on the right, and only those terms count
+    known = weighted.join(near.select("term").distinct(), "term", "left_semi")
+    touched = known.groupBy("l").agg(F.count("*").alias("m"), F.first("n").alias("ln")).where(enough("m", "ln"))
+    far = materialize(known.join(touched.select("l", "ln"), "l").join(left_norms, "l").select("l", "ln", "l2", "term", "df", "w"), "far")
+    shortest = far.groupBy("term").agg(F.min("ln").alias("least"))
 
     before = Window.partitionBy("l").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left_lists = far.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(before) / F.col("l2")).where(F.col("rest") >= cosine * cosine - 1e-9).select("term", "l")
+    left_lists = far.withColumn("l_rest", F.count("*").over(before)).where(enough("l_rest", "ln")).select("term", "l", "ln", "l_rest")
     after = Window.partitionBy("r").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    bounded = near.join(most, "term").withColumns({"rest": F.sum(F.col("w") * F.col("w")).over(after) / F.col("r2"), "reach": F.sum(F.col("w") / F.sqrt("r2") * F.col("most")).over(after)})
-    right_lists = bounded.where((F.col("rest") >= cosine * cosine - 1e-9) & (F.col("reach") >= cosine - 1e-9)).select("term", "r")
+    bounded = near.join(shortest, "term").withColumns({"r_rest": F.count("*").over(after), "reach": F.sum(1 / F.greatest("rn", "least")).over(after)})
+    right_lists = bounded.where(enough("r_rest", "rn") & (F.col("reach") >= share - 1e-9)).select("term", "r", "rn", "r_rest")
 
-    candidates = left_lists.join(right_lists, "term").select("l", "r").distinct()
+    first = F.least("l_rest", "r_rest") >= share * F.greatest("ln", "rn") - 1e-9  # holds at the first common term of a pair
+    candidates = left_lists.join(right_lists, "term").where(first).select("l", "r").distinct()
     products = candidates.join(near.select("r", "rn", "r2", "term", "w"), "r").join(far.select("l", "ln", "l2", "term"), ["l", "term"])
     exact = products.groupBy("l", "r").agg(F.count("*").alias("common"), F.sum(F.col("w") * F.col("w")).alias("dot"), *[F.first(c).alias(c) for c in ("ln", "l2", "rn", "r2")])
     measured = exact.withColumns({"cosine": F.col("dot") / F.sqrt(F.col("l2") * F.col("r2")), "share": F.col("common") / F.greatest("ln", "rn")})
-    pairs = measured.where((F.col("cosine") >= cosine) & (F.col("share") >= share))
+    pairs = measured.where(F.col("common") >= share * F.greatest("ln", "rn"))
     names = [all_.groupBy("vec").agg(F.min("id").alias(i)).withColumnRenamed("vec", v) for all_, i, v in ((left_all, "l", "left_vec"), (right_all, "r", "right_vec"))]
     return pairs.join(names[0], "l").join(names[1], "r").select("left_vec", "right_vec", "cosine", "share"), left_all.select("id", "vec"), right_all.select("id", "vec")
 
@@ -236,7 +238,7 @@ def train_keys(scores: DataFrame, pool: DataFrame) -> DataFrame:
     return both.select("rank", F.coalesce("key", "rank").alias("key"), F.col("key").isNull().alias("own")).distinct()
 
 
-def cross_split_pairs(scores: DataFrame, pool: DataFrame, documents: DataFrame, eval_docs: DataFrame, cosine: float = COSINE, share: float = SHARE) -> DataFrame:
+def cross_split_pairs(scores: DataFrame, pool: DataFrame, documents: DataFrame, eval_docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(train_rank, eval_rank): every pair of a training record and an evaluation record with the same or nearly the same text.
 
     The text of a training record is that of any document whose rank has the same key. The records of a key may be a large
@@ -245,7 +247,7 @@ def cross_split_pairs(scores: DataFrame, pool: DataFrame, documents: DataFrame,
     """
     evals = eval_docs.where("rank is not null").select(F.col("rank").alias("id"), "text")
     train = documents.where("rank is not null").select(F.col("rank").alias("id"), "text")
-    pairs, left, right = cosine_join(evals, train, cosine, share)
+    pairs, left, right = cosine_join(evals, train, share)
     pairs = fine_check(materialize(pairs, "pairs"), evals, train, left, right)
     matched = pairs.join(right.withColumnRenamed("vec", "right_vec"), "right_vec").select("left_vec", F.col("id").alias("rank"))
     keys = materialize(train_keys(scores, pool), "keys")

@@ -203,6 +203,27 @@ def test_overlap_equals_brute_force(spark):
     assert got == wanted and len(wanted) > 200
 
 
+def test_variants_of_one_text_are_all_found(spark):
+    """A third of the evaluation texts share most of one text, so their common terms are frequent."""
+    rng = random.Random(11)
+    vocabulary = [f"word{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base = draw(80)
+
+    def variant():
+        at, n = rng.randrange(70), rng.randrange(4, 14)
+        return " ".join(base[:at] + draw(n) + base[at + n :])
+
+    left = [(i, variant() if i % 3 == 0 else " ".join(draw(80))) for i in range(90)]
+    right = [(i, variant() if i % 3 == 0 else left[i][1] if i % 3 == 1 else " ".join(draw(60))) for i in range(60)]
+    pairs, a, b = overlap.cosine_join(*[frame(spark, rows, "id long, text string") for rows in (left, right)])
+    got = {(r.l, r.r) for r in pairs.join(a.toDF("l", "left_vec"), "left_vec").join(b.toDF("r", "right_vec"), "right_vec").collect()}
+    terms = overlap.Terms()
+    found = lambda rows: [(i, set(terms.of(t).tolist())) for i, t in rows]
+    wanted = {(i, j) for i, x in found(left) for j, y in found(right) if len(x & y) >= overlap.SHARE * max(len(x), len(y))}
+    assert got == wanted and len(wanted) > 500
+
+
 def test_overlap_of_empty_tables(spark):
     empty = [frame(spark, [], s) for s in ("rank long, text_key long", "rank long, text_hash long", "doc_id long, rank long, text string", "rank long, text string")]
     assert overlap.cross_split_pairs(*empty).count() == 0
