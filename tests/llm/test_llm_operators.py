@@ -224,6 +224,23 @@ def test_variants_of_one_text_are_all_found(spark):
     assert got == wanted and len(wanted) > 500
 
 
+def test_short_and_evenly_changed_texts_are_found(spark):
+    """Pairs that share half of their three-word shingles, but few of five words."""
+    rng = random.Random(5)
+    left, right, wanted = [], [], set()
+    for i, (n, changed) in enumerate([(23, [5, 11, 17]), (10, [5]), (60, list(range(5, 60, 6))), (3, []), (2, []), (60, list(range(4, 60, 5)))]):
+        words = [f"w{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+        left.append((i, " ".join(words)))
+        right.append((i, " ".join(f"x{w}" if k in changed else w for k, w in enumerate(words))))
+        kept = sum(not set(changed) & {k, k + 1, k + 2} for k in range(max(1, n - 2)))
+        wanted |= {i} if kept >= overlap.FINE_SHARE * max(1, n - 2) else set()
+    rng.shuffle(right)
+    evals, docs = (frame(spark, rows, "rank long, text string") for rows in (left, right))
+    keys = [(i, i) for i in range(len(right))]
+    got = overlap.cross_split_pairs(frame(spark, keys, "rank long, text_key long"), frame(spark, [], "rank long, text_hash long"), docs, evals).collect()
+    assert {tuple(r) for r in got} == {(i, i) for i in wanted} and wanted == {0, 1, 2, 3, 4}
+
+
 def test_overlap_of_empty_tables(spark):
     empty = [frame(spark, [], s) for s in ("rank long, text_key long", "rank long, text_hash long", "doc_id long, rank long, text string", "rank long, text string")]
     assert overlap.cross_split_pairs(*empty).count() == 0
