@@ -141,6 +141,13 @@ def mix(texts: DataFrame, plan: list[dict], seed: int = SEED) -> DataFrame:
     return copies.where("copies > 0").select("source", "doc_id", "n_tokens", "copies", "place")
 
 
+def placed_blocks(mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, doc_id, n_tokens, block, place): one row for every copy of ``mix``, at most the size of the mix in all. The
+    block's number is in the hash, so each block of a source is a permutation of its own; by it the partial block is cut."""
+    each = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return each.select("source", "doc_id", "n_tokens", "block", F.xxhash64("doc_id", F.lit(seed), "block").alias("place"))
+
+
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, list[dict]]:
     texts = distinct_texts(table(spark, folder, "documents", spread=True), table(spark, folder, "doc_counts"))
     return texts, shares(texts, table(spark, folder, "source_targets"))
@@ -161,8 +168,8 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The mix: every text it has, and how often."""
-    return mix(*_inputs(spark, folder))
+    """The mix in order: every use of a text, with its block and its place in that."""
+    return placed_blocks(mix(*_inputs(spark, folder)))
 
 
 SQL_FOUND = r"""with {catalog}, pieces as (select source, text, len(regexp_extract_all(text, '[\pL]+|[\pN]+|[^\s\pL\pN]+')) as n from {documents} where trim(text, E' \n\t\r') <> '' group by all),

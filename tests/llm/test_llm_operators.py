@@ -361,6 +361,21 @@ def test_mix_meets_the_shares(spark):
     assert {r.doc_id for r in got} == {r.doc_id for r in mixing.mix(texts.repartition(5), plan).collect()}
 
 
+def test_every_block_is_a_permutation_of_its_own(spark):
+    texts = frame(spark, [("a", i, 10) for i in range(100)] + [("b", 1000 + i, 10) for i in range(300)], "source string, doc_id long, n_tokens long")
+    plan = mixing.shares(texts, frame(spark, [("a", 65, 3), ("b", 35, 1)], "source string, mix_pct int, max_repeats int"))
+    mixed = mixing.mix(texts, plan)
+    got = mixing.placed_blocks(mixed).collect()
+    orders = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.place, r.doc_id)):
+        orders[r.source, r.block].append(r.doc_id)
+    assert sorted((k, len(v)) for k, v in orders.items()) == [(("a", 0), 100), (("a", 1), 100), (("a", 2), 60), (("b", 0), 140)]
+    assert set(orders["a", 0]) == set(orders["a", 1]) == set(range(100)) and orders["a", 0] != orders["a", 1]
+    # the partial block is the prefix of the permutation that its number gives
+    places = {r.doc_id: r.place for r in texts.where("source = 'a'").select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED), F.lit(2)).alias("place")).collect()}
+    assert orders["a", 2] == sorted(places, key=lambda d: (places[d], d))[:60]
+
+
 def test_distinct_texts(spark):
     rows = [(1, "same", " WIKI"), (2, "same", "wiki"), (3, "same", "web-arts-0003"), (4, None, "wiki"), (5, " \n ", "wiki"), (6, "other", None)]
     docs = frame(spark, [(*r, "-", 1) for r in rows], "doc_id long, text string, source string, topic string, hash int")
