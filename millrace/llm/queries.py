@@ -15,6 +15,7 @@ QUERIES = {
     "p3_daily": sketch.p3_daily,
     "p4_found": overlap.p4_found,
     "p4_report": overlap.p4_report,
+    "p4_exact": overlap.p4_exact,
     "p5_sample": sample.p5_sample,
     "p5_report": sample.p5_report,
     "p6_found": packing.p6_found,

@@ -1,14 +1,17 @@
 """Each operator on fixtures: brute force, exact round trips, held-out accuracy; empty tables, nulls, ties, clashing columns."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import runtime
 from millrace.llm import budget, cutoffs, level, mixing, overlap, packing, records, sample, sketch
 from millrace.runtime import table
 
@@ -161,10 +164,23 @@ def near(rng, words, changes):
     return " ".join(words)
 
 
-def test_overlap_equals_brute_force(spark):
+def reappearing(a, b):
+    """Share of the longer text's words in common runs: another measure than the operator's."""
+    a, b = overlap.words(a), overlap.words(b)
+    same = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size > 1)
+    return same / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_overlap_equals_brute_force(spark, monkeypatch, few):
+    """Also where matches are too many for a broadcast and half of the keys are hot."""
+    if not few:
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(overlap, "spread_join", lambda rows, matches, on: runtime.spread_join(rows, matches, on, hot=3))
     rng = random.Random(7)
     vocabulary = [f"word{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
     draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    own_key = lambda text: int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
     evals, docs, scores, pool = [], [], [], []
     rank = 0
     for i in range(40):
@@ -176,31 +192,36 @@ def test_overlap_equals_brute_force(spark):
             key = None if rank % 11 == 0 else 5 if i == 0 else rank + 10_000
             (scores if rank % 2 else pool).append((rank, key))
             rank += 1
-    evals += [(1000, evals[0][1]), (1001, evals[1][1]), (2000, None), (2001, "  "), (2002, "!!!"), (None, "x y z")]
+    evals += [(1000, evals[0][1]), (1001, evals[1][1]), (2000, None), (2001, "  "), (2002, "!!!"), (2003, "ABC-1  x"), (None, "x y z")]
     docs += [(9000, None, docs[0][2]), (9001, 9001, None), (9002, 9002, " \n"), (9003, 9003, "!!!")]
     scores += [(9003, 1), (9002, 2), (9001, 3)] + [(5000 + i, 5) for i in range(200)] + [(5000, 5)]
+    # training records whose text no document has: their key is the hash of an evaluation text
+    keyed = [evals[3][1], evals[4][1], "ABC-1  x", "  ", "another text"]
+    scores += [(6000 + i, own_key(t)) for i, t in enumerate(keyed)] + [(6100, own_key(evals[3][1]))]
+    pool += [(6000, own_key(evals[3][1])), (None, own_key(evals[3][1])), (6200, own_key(evals[5][1]))]
     frames = (
         frame(spark, [(*r, "s") for r in scores], "rank long, text_key long, source string"), frame(spark, [(*r, "s") for r in pool], "rank long, text_hash long, source string"),
         frame(spark, [(*r, 1) for r in docs], "doc_id long, rank long, text string, terms int"), frame(spark, [(*r, 2) for r in evals], "rank long, text string, vec int"),
     )
-    got = {tuple(r) for r in overlap.cross_split_pairs(*frames).collect()}
+    found = [tuple(r) for r in overlap.cross_split_pairs(*frames).collect()]
+    got = set(found)
+    assert len(found) == len(got)
 
-    keys = set(scores) | set(pool)
+    keys = {(r, k) for r, k in set(scores) | set(pool) if r is not None}
     of_rank, of_key = defaultdict(set), defaultdict(set)
     for r, k in keys:
         k = ("own", r) if k is None else k
         of_rank[r].add(k)
         of_key[k].add(r)
-    terms = overlap.Terms()
     wanted = set()
     for e, t in evals:
+        if e is None or not (t or "").strip():
+            continue
+        wanted |= {(x, e) for x in of_key[own_key(t)]}
         for _, r, u in docs:
-            if e is None or r is None or not (t or "").strip() or not (u or "").strip():
-                continue
-            a, b = set(terms.of(t, 3).tolist()), set(terms.of(u, 3).tolist())
-            if len(a & b) / max(len(a), len(b)) >= overlap.FINE_SHARE:
+            if r is not None and (u or "").strip() and (t == u or reappearing(t, u) >= 0.7):
                 wanted |= {(x, e) for k in of_rank[r] for x in of_key[k]}
-    assert got == wanted and len(wanted) > 200
+    assert got == wanted and len(wanted) > 200 and {(6000, 1003), (6100, 1003), (6002, 2003), (6200, 1005)} <= got
 
 
 def test_variants_of_one_text_are_all_found(spark):
@@ -220,25 +241,38 @@ def test_variants_of_one_text_are_all_found(spark):
     got = {(r.l, r.r) for r in pairs.join(a.toDF("l", "left_vec"), "left_vec").join(b.toDF("r", "right_vec"), "right_vec").collect()}
     terms = overlap.Terms()
     found = lambda rows: [(i, set(terms.of(t).tolist())) for i, t in rows]
-    wanted = {(i, j) for i, x in found(left) for j, y in found(right) if len(x & y) >= overlap.SHARE * max(len(x), len(y))}
+    wanted = {(i, j) for i, x in found(left) for j, y in found(right) if len(x & y) >= overlap.LIMITS[0] * max(len(x), len(y))}
     assert got == wanted and len(wanted) > 500
+    shares = pairs.agg(F.min("share"), F.max("share"), F.max("cosine")).first()
+    assert shares[0] >= overlap.LIMITS[0] and shares[1] <= 1 and shares[2] <= 1 + 1e-9
 
 
-def test_short_and_evenly_changed_texts_are_found(spark):
-    """Pairs that share half of their three-word shingles, but few of five words."""
+def test_short_and_changed_texts_are_found(spark):
+    """Pairs that share half of their three-word shingles, but few of five words; longer texts with every eighth word changed."""
     rng = random.Random(5)
     left, right, wanted = [], [], set()
-    for i, (n, changed) in enumerate([(23, [5, 11, 17]), (10, [5]), (60, list(range(5, 60, 6))), (3, []), (2, []), (60, list(range(4, 60, 5)))]):
+    for i, (n, changed) in enumerate([(23, [5, 11, 17]), (10, [5]), (60, list(range(5, 60, 6))), (3, []), (2, []), (60, list(range(4, 60, 5))), (90, list(range(7, 90, 12))), (90, list(range(2, 90, 4)))]):
         words = [f"w{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
         left.append((i, " ".join(words)))
         right.append((i, " ".join(f"x{w}" if k in changed else w for k, w in enumerate(words))))
-        kept = sum(not set(changed) & {k, k + 1, k + 2} for k in range(max(1, n - 2)))
-        wanted |= {i} if kept >= overlap.FINE_SHARE * max(1, n - 2) else set()
+        size, limit = (3, overlap.LIMITS[1]) if n <= overlap.SHORT else (5, overlap.LIMITS[0])
+        kept = sum(not set(changed) & set(range(k, k + size)) for k in range(max(1, n - size + 1)))
+        wanted |= {i} if kept >= limit * max(1, n - size + 1) else set()
     rng.shuffle(right)
     evals, docs = (frame(spark, rows, "rank long, text string") for rows in (left, right))
     keys = [(i, i) for i in range(len(right))]
     got = overlap.cross_split_pairs(frame(spark, keys, "rank long, text_key long"), frame(spark, [], "rank long, text_hash long"), docs, evals).collect()
-    assert {tuple(r) for r in got} == {(i, i) for i in wanted} and wanted == {0, 1, 2, 3, 4}
+    assert {tuple(r) for r in got} == {(i, i) for i in wanted} and wanted == {0, 1, 2, 3, 4, 6}
+
+
+@pytest.mark.parametrize("size", [1, 30_000])
+def test_bit_maps_have_every_term(spark, size):
+    terms = np.random.default_rng(size).integers(-(2**63), 2**63 - 1, size)
+    rows = [(int(t), 1 + 300 * (i % 2)) for i, t in enumerate(terms)]
+    known, *often = overlap.bitmaps(frame(spark, rows, "term long, df long"), size)
+    assert overlap._probe(known, terms).all() and (overlap._level(often, terms)[1::2] == len(overlap.OFTEN)).all()
+    other = np.random.default_rng(99).integers(-(2**63), 2**63 - 1, 30_000)
+    assert overlap._probe(known, other).mean() < 0.1
 
 
 def test_overlap_of_empty_tables(spark):
