@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import canonical
 from ..runtime import materialize, table
-from .records import labelled_records, usable_count
+from ..operators.records import labelled_records, usable_count
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 

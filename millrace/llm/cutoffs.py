@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import cut_rows
 from ..runtime import materialize, small, table
-from .records import labelled_records, usable_loss
+from ..operators.records import labelled_records, usable_loss
 
 
 def usable_records(scores: DataFrame, catalog: DataFrame) -> DataFrame:

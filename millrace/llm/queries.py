@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, the SQL to compare them with."""
 
+from ..plans.sql import CATALOG, KNOWN, WITH, canonical
 from . import budget, cutoffs, level, mixing, overlap, packing, sample, sketch
-from .sql import CATALOG, WITH, canonical
 
 QUERIES = {
     "p1_found": cutoffs.p1_found,
@@ -59,7 +59,7 @@ ORACLES = {
         min(value) filter (pos * 100 >= n * 95) as p95 from ranked where n >= 50 group by all)
         select source, topic, measure from points where (measure = 'mean_loss' and p90 >= 1.5 * p50) or (measure = 'n_tokens' and p95 >= 6 * p50)""",
     "p5_sample": sample.SQL_SAMPLE,
-    "p5_report": f"""with {CATALOG}, {sample.SQL_KNOWN},
+    "p5_report": f"""with {CATALOG}, {KNOWN},
         firsts as (select row_id, source, topic, '' as vigintile from known where row_id >= 0 qualify row_number() over (partition by row_id order by added_at, shard, shard_offset, rank, source nulls last, topic nulls last) = 1)
         select source, count(*) as n_docs, count(*) filter ({sample.SQL_IN}) as n_sampled, round(count(*) filter ({sample.SQL_IN}) / count(*), 6) as rate from {canonical('firsts')} group by source""",
     # no text lies near the limit by any tokenizer, so words and marks can be counted instead

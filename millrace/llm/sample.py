@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical
-from ..runtime import small, table
+from ..operators.records import with_row_id
+from ..plans.sql import KNOWN
+from ..runtime import table
 
 HALF = 31
 MASK = (1 << HALF) - 1
@@ -43,14 +45,6 @@ def in_sample(identifier: Column, rate: float, seed: int = SEED) -> Column:
     return F.coalesce(permuted(identifier, seed) < F.lit(int(rate * (1 << 2 * HALF))), F.lit(False))
 
 
-def with_row_id(pool: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Fill a missing ``row_id``: documents of all earlier files + ``shard_offset``. The catalog has a row per file."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = catalog.select("shard", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("__start"))
-    known = pool.join(small(starts), "shard", "left")
-    return known.withColumn("row_id", F.coalesce("row_id", F.col("__start") + F.col("shard_offset"))).select(*pool.columns)
-
-
 def stable_sample(rows: DataFrame, rate: float, identifier: str = "row_id", arrived: str = "added_at", seed: int = SEED) -> DataFrame:
     """One row per selected identifier: the one that arrived first (ties: the least of the other values), so that repeats in
     later batches change nothing. Rows are selected before anything is shuffled."""
@@ -87,8 +81,6 @@ def _sql_permuted(identifier: str, seed: int = SEED) -> str:
 
 
 SQL_IN = f"{_sql_permuted('row_id')} < {int(RATE * (1 << 2 * HALF))}"
-SQL_KNOWN = """starts as (select shard, coalesce(sum(n_docs) over (order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as start from doc_counts),
-known as (select p.* exclude (row_id), coalesce(row_id, start + shard_offset)::bigint as row_id from pool p left join starts using (shard))"""
-SQL_SAMPLE = f"""with {SQL_KNOWN},
+SQL_SAMPLE = f"""with {KNOWN},
 picked as (select * from known where row_id >= 0 and {SQL_IN})
 select row_id, min_by(rank, added_at) as rank, min(added_at) as added_at from picked group by row_id"""

@@ -1,33 +1,40 @@
 """Problem 3: percentiles of very large columns from mergeable dyadic Count-sketches.
 
 A value is encoded as a B-bit integer that keeps the order of numbers. A sketch has a signed Count-sketch (DEPTH rows of
-WIDTH counters) for each of the lower binary resolutions of the code, and exact counters at the resolution of 2^TOP nodes.
-Every counter is a sum over the values, so sketches of days or partitions merge by addition, and a negative weight deletes.
-The q-th percentile descends from the top: at each node the estimated count of the left child decides the side.
+WIDTH counters) for each of the LEVELS finest binary resolutions of the code, and exact counters at the resolution of 2^TOP
+nodes, which take the place of the coarser ones. Every counter is a sum over the values, so sketches of days or partitions merge
+by addition, and a negative weight deletes. The q-th percentile descends from the top: at each node the estimated count of the
+left child decides the side.
+
+A sketch of few codes is kept as the list of its codes and weights, from which the counters follow (at most SPARSE; then it
+is smaller than they are); lists add to lists or to counters, and the counters are always what is read.
 
 Errors. Value: a code is sign, octave and a 1,024th of an octave, so it lies within a factor 1 + 2^-10 of the value where
-2^LOW <= |value| < 2^HIGH (smaller ones count as 0, larger ones as the last code). Rank: the estimate of one node errs by about
-sqrt(F2 / WIDTH), with F2 the sum of the squared counts at its resolution (itself estimated from the sketch); a descent adds up
-LEVELS such estimates, and can't leave the exactly counted top node. ``rank_error`` is the smaller of 2 * sqrt(sum of F2 / WIDTH
-over the resolutions), about two standard deviations, and the count of the top node; the median of DEPTH rows makes larger
-errors rare.
+2^LOW <= |value| < 2^HIGH (smaller ones count as 0, larger ones as the last code). Rank: a descent can't leave the exactly counted
+top node, so the count of that node bounds the error (``rank_bound``). The estimate of one node errs by about sqrt(F2 / WIDTH), with
+F2 the sum of the squared counts at its resolution (itself estimated from the sketch); a descent adds up LEVELS such estimates.
+``rank_error`` is 2 * sqrt(sum of F2 / WIDTH over the resolutions), about two standard deviations; the median of DEPTH rows makes
+larger errors rare.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .records import labelled_records, usable_count, usable_loss
+from ..operators.records import labelled_records, usable_count, usable_loss
 
 BITS, TOP, DEPTH, WIDTH = 17, 11, 5, 512
 LEVELS = BITS - TOP
+SPARSE = 4096  # codes up to which a sketch is kept as their list
+ROWS = 1_000_000  # values that a task sums before it hands on its sketches
 LOW, HIGH = -24, 40  # octaves of the codes: sign bit, 64 octaves, 1,024 steps in each
 
 
@@ -111,51 +118,106 @@ def rank_error(vector: np.ndarray) -> float:
     return float(2 * np.sqrt(f2.sum() / WIDTH))
 
 
-def pack(vector: np.ndarray) -> bytes:
-    return zlib.compress(vector.tobytes(), 1)
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype=np.int64)
+class Sums:
+    """A sketch in the making: codes and weights while they are few, then counters."""
+
+    def __init__(self) -> None:
+        self.codes, self.weights, self.counters = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def add(self, codes: np.ndarray, weights: np.ndarray) -> Sums:
+        if self.counters is not None:
+            self.counters += build(codes, weights)
+            return self
+        self.codes, place = np.unique(np.concatenate((self.codes, codes)), return_inverse=True)
+        summed = np.zeros(len(self.codes), np.int64)
+        np.add.at(summed, place, np.concatenate((self.weights, weights)))
+        self.weights = summed
+        if len(self.codes) > SPARSE:
+            self.counters, self.codes, self.weights = build(self.codes, self.weights), None, None
+        return self
+
+    def merge(self, blob: bytes) -> Sums:
+        kind, numbers = blob[:1], np.frombuffer(zlib.decompress(blob[1:]), np.int64)
+        if kind == b"S":
+            return self.add(*np.split(numbers, 2))
+        if self.counters is None:
+            self.counters = build(self.codes, self.weights)
+        self.counters += numbers
+        return self
+
+    def pack(self) -> bytes:
+        if self.counters is not None:
+            return b"C" + zlib.compress(self.counters.tobytes(), 1)
+        return b"S" + zlib.compress(np.concatenate((self.codes, self.weights)).tobytes(), 1)
+
+    def vector(self) -> np.ndarray:
+        return self.counters if self.counters is not None else build(self.codes, self.weights)
+
+
+def _summed(rows: pa.Table, keys: Sequence[str], names: list[str]) -> pa.RecordBatch:
+    """One sketch for each key of the values ``__v`` with weights ``__n``."""
+    ids = np.zeros(rows.num_rows, np.int64)
+    for k in keys:
+        column = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        ids = ids * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(ids, return_index=True, return_inverse=True)
+    cells, place = np.unique((group << BITS) + encode(rows.column("__v").to_numpy()), return_inverse=True)
+    weights = np.zeros(len(cells), np.int64)
+    np.add.at(weights, place, rows.column("__n").to_numpy())
+    cuts = np.searchsorted(cells, np.arange(1, len(first)) << BITS)
+    parts = zip(np.split(cells & ((1 << BITS) - 1), cuts), np.split(weights, cuts))
+    made = [(int(w.sum()), Sums().add(c, w).pack()) for c, w in parts]
+    named = rows.select(list(keys)).take(pa.array(first)).combine_chunks()
+    columns = [*(c.combine_chunks() for c in named.columns), pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def sketches(values: DataFrame, group: Sequence[str], part: str, value: str = "value", weight: str | None = None) -> DataFrame:
-    """One sketch per group and part (a day, say): group, part, ``n``, ``sketch`` (compressed counters).
+    """One sketch per group and part (a day, say): group, part, ``n``, ``sketch``.
 
-    Values are first summed by code, map-side and in a shuffle, so the task that builds a sketch gets at most 2^BITS rows
-    however many values the group has. ``weight`` (1 by default) may be negative to delete earlier values. Null and NaN
+    Each task sums its own values by code, ROWS at a time, into sketches of every group and part it meets; only those are
+    shuffled, and added as they stream in. So neither a task nor a group ever holds more than ROWS values, and however many a
+    group has, its sketches are of bounded size. ``weight`` (1 by default) may be negative to delete earlier values. Null and NaN
     values are left out; infinities have codes of their own; a null group or part is a group of its own.
     """
     amount = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     clean = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("float")))
-    counted = clean.groupBy(*group, part, F.col(value).cast("float").alias("__v")).agg(F.sum(amount).alias("__n"))
     keys = [*group, part]
+    slim = clean.select(*keys, F.col(value).cast("float").alias("__v"), F.coalesce(amount, F.lit(0)).alias("__n"))
     schema = values.select(*keys).schema.add("n", "long").add("sketch", "binary")
 
-    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        weights = rows["__n"].to_numpy(np.int64)
-        vector = build(encode(rows["__v"].to_numpy(np.float32)), weights)
-        return pd.DataFrame([[*key, int(weights.sum()), pack(vector)]], columns=[*keys, "n", "sketch"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                yield _summed(pa.Table.from_batches(held), keys, schema.names)
+                held, size = [], 0
+        if size:
+            yield _summed(pa.Table.from_batches(held), keys, schema.names)
 
-    return counted.groupBy(*keys).applyInPandas(make, schema)
+    return merge(slim.mapInArrow(make, schema), keys)
 
 
 def merge(parts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Sum the sketches of all parts of a group, a few at a time: group, ``n``, ``sketch``."""
+    """Add up the sketches of each group as they stream in: group, ``n``, ``sketch``. One sketch is held at a time."""
     schema = parts.select(*group).schema.add("n", "long").add("sketch", "binary")
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for blob in rows["sketch"]:
-            total = unpack(blob).copy() if total is None else total + unpack(blob)
-        return pd.DataFrame([[*key, int(rows["n"].sum()), pack(total)]], columns=[*group, "n", "sketch"])
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = Sums(), 0
+        for batch in batches:
+            n += sum(batch.column("n").to_pylist())
+            for blob in batch.column("sketch"):
+                total.merge(blob.as_py())
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), pa.array([n], pa.int64()), pa.array([total.pack()], pa.binary())], names=schema.names)
 
-    return parts.groupBy(*group).applyInPandas(add, schema)
+    return parts.select(*group, "n", "sketch").groupBy(*group).applyInArrow(add, schema)
 
 
 def percentiles(merged: DataFrame, group: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """group, ``n``, ``q``, ``value``, ``rank_error`` (share of n) for every percentile in ``points``; needs n > 0."""
-    schema = merged.select(*group).schema.add("n", "long").add("q", "double").add("value", "double").add("rank_error", "double")
+    """group, ``n``, ``q``, ``value``, ``rank_error`` and ``rank_bound`` (shares of n) for every percentile in ``points``; needs n > 0."""
+    schema = merged.select(*group).schema.add("n", "long").add("q", "double").add("value", "double").add("rank_error", "double").add("rank_bound", "double")
 
     def read(batches):
         for rows in batches:
@@ -163,12 +225,12 @@ def percentiles(merged: DataFrame, group: Sequence[str], points: Sequence[float]
             for row in rows.itertuples(index=False):
                 if row.n <= 0:
                     continue
-                vector = unpack(row.sketch)
+                vector = Sums().merge(row.sketch).vector()
                 error = rank_error(vector)
                 for q in points:
                     code, exact = quantile(vector, max(1, int(np.ceil(q * row.n / 100 - 1e-9))))
-                    out.append([*[getattr(row, c) for c in group], row.n, float(q), float(decode(np.array([code]))[0]), min(error, exact) / row.n])
-            yield pd.DataFrame(out, columns=[*group, "n", "q", "value", "rank_error"])
+                    out.append([*[getattr(row, c) for c in group], row.n, float(q), float(decode(np.array([code]))[0]), error / row.n, exact / row.n])
+            yield pd.DataFrame(out, columns=[*group, "n", "q", "value", "rank_error", "rank_bound"])
 
     return merged.mapInPandas(read, schema)
 
@@ -199,7 +261,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of losses and token counts per source and topic, with the error bound of their ranks."""
+    """Percentiles of losses and token counts per source and topic, with the estimated error and the bound of their ranks."""
     return percentiles(_merged(spark, folder), GROUP, POINTS)
 
 
