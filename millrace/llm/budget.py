@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions.labels import canonical
 from ..runtime import materialize, table
 from ..operators.records import labelled_records, usable_count
 
+CACHED = 500_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pattern that splits a text into the pieces within which the vocabulary's merges happen.
@@ -33,25 +35,35 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def _lengths(vocabulary: str):
+def _lengths(encode_once: Callable[[], Callable[[str], int]]):
+    """Lengths of pieces in tokens; ``encode_once()`` is called in each task and gives the length of a piece."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        length = encode_once()
         for batch in batches:
             pieces = batch.column(0)
-            yield pa.record_batch([pieces, pa.array([len(encode(p)) for p in pieces.to_pylist()], pa.int64())], names=["piece", "length"])
+            yield pa.record_batch([pieces, pa.array([length(p) for p in pieces.to_pylist()], pa.int64())], names=["piece", "length"])
 
     return count
 
 
 def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` and ``n_tokens``, the length of each whole ``text`` in tokens (null text: 0). One pass, no shuffle."""
+    """``keep`` and ``n_tokens``, the length of each whole ``text`` in tokens (null text: 0). One pass, no shuffle; a task encodes
+    equal texts once (it remembers the lengths of up to CACHED texts by a 128-bit hash)."""
     schema = docs.select(*keep).schema.add("n_tokens", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode, known = encoding(vocabulary).encode_ordinary, {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lengths = pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())
+            found = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                key = xxhash.xxh3_128_digest(text) if text else None
+                if key is not None and key not in known:
+                    if len(known) >= CACHED:
+                        known.clear()
+                    known[key] = len(encode(text))
+                found.append(known[key] if text else 0)
+            lengths = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lengths], names=[*keep, "n_tokens"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(count, schema)
@@ -81,8 +93,19 @@ def record_tokens(scores: DataFrame, pool: DataFrame, catalog: DataFrame) -> Dat
     return known.join(counts, "rank", "left").select("rank", "source", "topic", "vigintile", F.coalesce("usable", "pool_tokens", F.lit(0)).alias("tokens"))
 
 
-def text_token_totals(docs: DataFrame, slices: list[str], vocabulary: str = VOCABULARY, pattern: str = PIECES) -> DataFrame:
-    """Exact tokens of the texts of each slice (``slices``, ``n_docs``, ``n_tokens``), without encoding the corpus.
+def piece_length(vocabulary: str) -> Callable[[], Callable[[str], int]]:
+    """The lengths of pieces under the tokenizer of a rank file."""
+    return lambda: lambda piece, encode=encoding(vocabulary).encode_ordinary: len(encode(piece))
+
+
+def byte_length() -> Callable[[str], int]:
+    """The lengths of pieces under a byte tokenizer."""
+    return lambda piece: len(piece.encode())
+
+
+def text_token_totals(docs: DataFrame, slices: list[str], vocabulary: str = VOCABULARY, pattern: str = PIECES, lengths: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """Exact tokens of the texts of each slice (``slices``, ``n_docs``, ``n_tokens``), without encoding the corpus; ``lengths`` gives the
+    lengths of pieces where they don't come from a rank file.
 
     Texts are split into the tokenizer's pieces by its own pattern; merges never cross a piece, so each distinct piece is
     encoded once and its length joined with the piece's frequency in each slice. Partial aggregation leaves at most one row
@@ -91,7 +114,7 @@ def text_token_totals(docs: DataFrame, slices: list[str], vocabulary: str = VOCA
     """
     pieces = docs.select(*slices, F.explode(F.regexp_extract_all(F.col("text"), F.lit("(?U)" + pattern), F.lit(0))).alias("piece"))
     frequent = materialize(pieces.groupBy(*slices, "piece").agg(F.count("*").alias("n")), "pieces")
-    lengths = frequent.select("piece").distinct().mapInArrow(_lengths(vocabulary), "piece string, length long")
+    lengths = frequent.select("piece").distinct().mapInArrow(_lengths(lengths or piece_length(vocabulary)), "piece string, length long")
     tokens = frequent.join(lengths, "piece").groupBy(*slices).agg(F.sum(F.col("n") * F.col("length")).alias("__tokens"))
     sizes = docs.groupBy(*slices).agg(F.count("*").alias("n_docs"))
     same = None
@@ -115,8 +138,16 @@ def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
     return _slices(spark, folder).select("source", "topic", "vigintile", "n_docs", "n_tokens", F.round(F.try_divide(F.col("n_tokens"), F.col("all_tokens")), 6).alias("share"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = canonical(table(spark, folder, "documents", spread=True).select("source", "topic", "vigintile", "lang", "text"), table(spark, folder, "doc_counts"))
+    return docs.withColumn("lang", language(F.col("lang")))
+
+
 def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of the texts of ``documents`` by source, language and topic (the domain)."""
-    docs = canonical(table(spark, folder, "documents", spread=True).select("source", "topic", "vigintile", "lang", "text"), table(spark, folder, "doc_counts"))
-    docs = docs.withColumn("lang", language(F.col("lang")))
-    return text_token_totals(docs, ["source", "lang", "topic"])
+    return text_token_totals(_texts(spark, folder), ["source", "lang", "topic"])
+
+
+def p2_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same under a byte tokenizer, of which another engine can tell the totals."""
+    return text_token_totals(_texts(spark, folder), ["source", "lang", "topic"], lengths=byte_length)

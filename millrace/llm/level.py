@@ -4,10 +4,13 @@ Words have an acquisition grade: the mean level of the distribution over levels
 texts weighing the same. A text's level is predicted from quantiles of the grades of its known words: for each step between
 levels, a logistic calibration fitted on graded texts maps the quantiles to the probability that the text lies above it. The
 score is 1 plus these probabilities, the level 1 plus the number that are at least a half. Words that are not known in the
-language are graded by their family (the last letters), else left out.
+language are left out.
+
+A text's language is told by words whose use differs most between the languages. Which these are is learned from the written
+labels of the same texts: word frequencies by label, then by the language they tell, so that wrong labels lose their weight.
 
 The model is fitted on a bounded sample of graded texts (at most MAX_LABELLED, those of the least hashed ids), so it fits
-in the driver; its vocabulary is bounded by MAX_WORDS. The calibration sees each graded text with word grades that come from
+in the driver. The calibration sees each graded text with word grades that come from
 other texts (folds), since a text's own label would make its rare words look too telling. Every text is then graded
 where it is read, whole, in one pass without a shuffle.
 """
@@ -24,46 +27,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import canonical
+from ..functions.labels import TOPIC_SOURCES, canonical
 from ..runtime import table
 
 MAX_LABELLED = 20_000
-MAX_WORDS = 200_000
 LEVELS = 4
 QUANTILES = tuple(range(5, 100, 5))
-FAMILY = 5
-LEAST = 3  # graded texts that must use a word
+LEAST = 3  # graded texts that must use a word; 1 to 5 grade held-out texts alike
 FOLDS = 5
-CODE_SOURCES = ("stack_edu",)  # fixed value: the source whose texts are program code
-
-# Frequent function words of the corpus languages, by which a text's language is told.
-FUNCTION_WORDS = {
-    "en": "the a an and of in with their this that every some our was but for from near",
-    "de": "der die das ein eine und mit aus nicht jede diese aber neben hinter unser ihre dass weil",
-    "fr": "le la les un une et de des dans avec cette chaque notre mais contre sans leur pour",
-    "es": "el la los las un una y de del con esta cada nuestra pero contra sin bajo porque",
-}
+CODE_SOURCES = tuple(source for source, prefix in TOPIC_SOURCES.items() if prefix == "code:")  # the sources whose topics are programming languages
+LEAST_SHARE = 0.01  # of the texts: written labels that are rarer are no language of the model
+TELLING = 300  # words of each language that tell it
+ROUNDS = 3
+MARGIN = 2.0  # log odds from which the words overrule the written label
 
 _BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_TELLS: dict[str, list[str]] = defaultdict(list)
-for _name, _list in FUNCTION_WORDS.items():
-    for _w in _list.split():
-        _TELLS[_w].append(_name)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(_BROKEN.sub("", _TAG.sub(" ", text)).lower())
 
 
-def language_of(found: list[str], written: str | None) -> str:
-    """The language whose function words the text uses most; without any, the written label."""
-    votes: Counter = Counter()
-    for w in found:
-        for name in _TELLS.get(w, ()):
-            votes[name] += 1
-    return votes.most_common(1)[0][0] if votes else (written or "und")
+@dataclass
+class Languages:
+    """The languages of a corpus and the words that tell them: for each word the log of its frequency in texts of each language."""
+
+    names: list[str] = field(default_factory=list)
+    place: dict[str, int] = field(default_factory=dict)
+    logs: np.ndarray | None = None
+
+    def odds(self, counts: dict[str, int]) -> np.ndarray | None:
+        """Log likelihood of each language, by which telling words a text has; null if it has none."""
+        found = [k for k in map(self.place.get, counts) if k is not None]
+        return self.logs[found].sum(axis=0) if found else None
+
+    def of(self, counts: dict[str, int], written: str | None) -> str:
+        """The likeliest language; the written label where the words don't tell, ``und`` where there is none either."""
+        odds = self.odds(counts) if len(self.names) > 1 else None
+        if odds is None:
+            return written or "und"
+        first, second = np.sort(odds)[::-1][:2]
+        return self.names[int(np.argmax(odds))] if first - second >= MARGIN or written not in self.names else written
+
+
+def fit_languages(texts: list[tuple[str | None, dict[str, int]]]) -> Languages:
+    """From texts with written labels, of which some may be wrong or missing."""
+    labels = Counter(written for written, _ in texts if written and written != "und")
+    names = sorted(name for name, n in labels.items() if n >= LEAST_SHARE * labels.total())
+    if len(names) < 2:
+        return Languages(names)
+    told: list[str | None] = [written if written in names else None for written, _ in texts]
+    model = Languages(names)
+    for _ in range(ROUNDS):
+        place = {name: k for k, name in enumerate(names)}
+        uses, sizes = defaultdict(lambda: np.zeros(len(names))), np.zeros(len(names))
+        for name, (_, counts) in zip(told, texts):
+            if name in place:
+                sizes[place[name]] += 1
+                for w in counts:
+                    uses[w][place[name]] += 1
+        vocabulary = [w for w, v in uses.items() if v.sum() >= LEAST]
+        chance = (np.array([uses[w] for w in vocabulary]).reshape(-1, len(names)) + 0.5) / (sizes + 1)
+        others = (chance.sum(axis=1, keepdims=True) - chance) / max(1, len(names) - 1)
+        telling = chance * np.log(chance / others) if len(names) > 1 else chance  # how often, times how clearly
+        chosen = sorted(set(np.argsort(-telling, axis=0, kind="stable")[:TELLING].ravel().tolist()))
+        model = Languages(names, {vocabulary[k]: i for i, k in enumerate(chosen)}, np.log(chance[chosen]))
+        found = [model.odds(counts) for _, counts in texts]
+        told = [name if odds is None else names[int(np.argmax(odds))] for name, odds in zip(told, found)]
+        names = [name for name, n in sorted(Counter(told).items(), key=str) if name is not None and n >= LEAST_SHARE * len(texts)]
+    return model
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -82,17 +116,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 3
 
 @dataclass
 class Model:
-    grades: dict[str, dict[str, float]] = field(default_factory=dict)  # language -> word or "~family" -> grade
+    grades: dict[str, dict[str, float]] = field(default_factory=dict)  # language -> word -> grade
     middle: np.ndarray | None = None
     spread: np.ndarray | None = None
     weights: np.ndarray | None = None  # a row for each step between levels
+    languages: Languages = field(default_factory=Languages)
 
     def known(self, name: str, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         table_, grades, often = self.grades.get(name, {}), [], []
         for w, n in counts.items():
             g = table_.get(w)
-            if g is None and len(w) > FAMILY + 2:
-                g = table_.get("~" + w[-FAMILY:])
             if g is not None:
                 grades.append(g), often.append(n)
         return np.array(grades), np.array(often)
@@ -117,32 +150,34 @@ class Model:
 
 
 def _grades(texts: list[tuple[str, list[float], dict[str, int]]]) -> dict[str, dict[str, float]]:
-    """Acquisition grades of words and word families from graded texts (language, share of the raters per level, word counts)."""
+    """Acquisition grades of words from graded texts (language, share of the raters per level, word counts)."""
     uses: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
     texts_of: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(LEVELS))
     for name, raters, counts in texts:
         share = np.array(raters)
         texts_of[name] += share
         own = uses[name]
-        for w in [*counts, *{"~" + w[-FAMILY:] for w in counts if len(w) > FAMILY + 2}]:
+        for w in counts:
             have = own.get(w)
             own[w] = share.copy() if have is None else have + share
     out: dict[str, dict[str, float]] = {}
     steps = np.arange(1, LEVELS + 1)
     for name, own in uses.items():
         size = np.maximum(texts_of[name], 1)
-        kept = sorted(((v.sum(), w) for w, v in own.items() if v.sum() >= LEAST), reverse=True)[:MAX_WORDS]
         prior = 0.5 / size.mean()
         out[name] = {}
-        for _, w in kept:
-            p = own[w] / size + prior / 2
-            out[name][w] = float((p * steps).sum() / p.sum())
+        for w, v in own.items():
+            if v.sum() >= LEAST:
+                p = v / size + prior / 2
+                out[name][w] = float((p * steps).sum() / p.sum())
     return out
 
 
-def fit(texts: list[tuple[str, list[float], dict[str, int]]]) -> Model:
-    """The model of graded texts; folds are dealt by position. Without usable texts the model knows no word."""
-    model = Model()
+def fit(written: list[tuple[str | None, list[float], dict[str, int]]]) -> Model:
+    """The model of graded texts (written label, share of the raters per level, word counts); folds are dealt by position.
+    Without usable texts the model knows no word."""
+    model = Model(languages=fit_languages([(label, counts) for label, _, counts in written]))
+    texts = [(model.languages.of(counts, label), raters, counts) for label, raters, counts in written]
     rows, wanted = [], []
     for fold in range(FOLDS):
         part = Model(grades=_grades([t for i, t in enumerate(texts) if i % FOLDS != fold]))
@@ -159,32 +194,31 @@ def fit(texts: list[tuple[str, list[float], dict[str, int]]]) -> Model:
     return model
 
 
-def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, list[float], dict[str, int]]]:
-    """At most ``bound`` graded texts, for the driver: language, share of the raters per level, word counts. Labels outside 1 .. LEVELS are ignored."""
+def graded_texts(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str | None, list[float], dict[str, int]]]:
+    """At most ``bound`` graded texts, for the driver: written label, share of the raters per level, word counts. Labels outside 1 .. LEVELS are ignored."""
     fair = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
     by_doc = fair.groupBy("doc_id").agg(F.array(*[F.count_if(F.col("reading_level") == k) / F.count("*") for k in range(1, LEVELS + 1)]).alias("levels"))
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, lists, numbers = [], [], []
-            for text, written in zip(batch.column("text").to_pylist(), batch.column("written").to_pylist()):
-                found = words(text)
-                counts = Counter(found)
-                names.append(language_of(found, written)), lists.append(list(counts)), numbers.append(list(counts.values()))
+            lists, numbers = [], []
+            for text in batch.column("text").to_pylist():
+                counts = Counter(words(text))
+                lists.append(list(counts)), numbers.append(list(counts.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("levels"), pa.array(names, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
-                names=["doc_id", "levels", "language", "words", "counts"],
+                [batch.column("doc_id"), batch.column("levels"), batch.column("written"), pa.array(lists, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32()))],
+                names=["doc_id", "levels", "written", "words", "counts"],
             )
 
     # the join keeps few texts: the chosen ids go to the texts, not the texts through a shuffle (at most ``bound`` ids)
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "levels", "text", "written")
-    counted = texts.mapInArrow(count, "doc_id long, levels array<double>, language string, words array<string>, counts array<int>")
+    counted = texts.mapInArrow(count, "doc_id long, levels array<double>, written string, words array<string>, counts array<int>")
     found, same = [], {}
     for batch in counted.toArrow().sort_by("doc_id").to_batches(max_chunksize=500):
         for r in batch.to_pylist():
             if r["words"]:  # each word is one string, however many texts have it
-                found.append((r["language"], r["levels"], {same.setdefault(w, w): n for w, n in zip(r["words"], r["counts"])}))
+                found.append((r["written"], r["levels"], {same.setdefault(w, w): n for w, n in zip(r["words"], r["counts"])}))
     return found
 
 
@@ -198,9 +232,9 @@ def graded(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             names, scores, levels = [], [], []
             for text, written in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
-                found = words(text)
-                name = language_of(found, written)
-                steps = model.steps(name, Counter(found))
+                counts = Counter(words(text))
+                name = model.languages.of(counts, written)
+                steps = model.steps(name, counts)
                 names.append(name)
                 scores.append(None if steps is None else float(1 + steps.sum()))
                 levels.append(None if steps is None else int(1 + (steps >= 0.5).sum()))

@@ -154,8 +154,10 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, list[dict]]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that the weights of the mix leave below their target share; those at it by rounding are told in integers."""
     _, plan = _inputs(spark, folder)
-    return spark.createDataFrame([(p["source"],) for p in plan if not p["reachable"]], "source string")
+    below = [p for p in plan if p["weight"] <= p["mix_share"] * (1 + 1e-9)]
+    return spark.createDataFrame([(p["source"],) for p in below if not p["reachable"]], "source string")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +174,36 @@ def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
     return placed_blocks(mix(*_inputs(spark, folder)))
 
 
+def p7_tempered(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: natural share, and its weight in the temperature mix whose entropy is that of the target shares."""
+    _, plan = _inputs(spark, folder)
+    shares_ = np.array([p["natural_share"] for p in plan])
+    wanted = np.array([p["mix_share"] for p in plan])
+    exponent = entropy_exponent(shares_, entropy(wanted / wanted.sum())) if wanted.sum() > 0 else 1.0
+    weights = tempered(shares_, exponent)
+    return spark.createDataFrame([(p["source"], float(s), float(w), exponent) for p, s, w in zip(plan, shares_, weights)], "source string, natural_share double, weight double, exponent double")
+
+
+def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source with texts, of the realised mix: its distinct texts, whether every block but the last has each of them once, whether
+    no text is used more often than the source's limit and the mix exceeds no source's weight, and whether the blocks' orders differ."""
+    texts, plan = _inputs(spark, folder)
+    limits = spark.createDataFrame([(p["source"], p["n_texts"], p["max_repeats"], p["weight"] * sum(q["tokens"] for q in plan) + 1) for p in plan], "source string, of long, most int, budget double")
+    used = placed_blocks(mix(texts, plan))
+    blocks = used.groupBy("source", "block").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different"), F.sum("n_tokens").alias("tokens"), F.min_by("doc_id", "place").alias("first"))
+    each = blocks.groupBy("source").agg(F.max("block").alias("last"), F.max_by("n", "block").alias("n_last"), F.sum("n").alias("n"), F.bool_and(F.col("n") == F.col("different")).alias("once"), F.sum("tokens").alias("tokens"), F.count("*").alias("blocks"), F.countDistinct("first").alias("firsts"))
+    known = limits.where("of > 0").join(each, "source", "left")
+    none = F.col("n").isNull()
+    return known.select(
+        "source", F.col("of").alias("n_texts"), (none | (F.col("once") & (F.col("n") - F.col("n_last") == F.col("last") * F.col("of")))).alias("whole_blocks"),
+        (none | ((F.col("last") < F.col("most")) & (F.col("tokens") <= F.col("budget")))).alias("within_limit"), (none | (F.col("blocks") == 1) | (F.col("firsts") > 1)).alias("own_orders"),
+    )
+
+
 SQL_FOUND = r"""with {catalog}, pieces as (select source, text, len(regexp_extract_all(text, '[\pL]+|[\pN]+|[^\s\pL\pN]+')) as n from {documents} where trim(text, E' \n\t\r') <> '' group by all),
 totals as (select source, sum(n) as tokens from pieces group by source)
 select source from source_targets left join totals using (source)
 where 100 * max_repeats * coalesce(tokens, 0) < mix_pct * (select sum(tokens) from totals)"""
+
+SQL_BLOCKS = r"""with {catalog}, t as (select distinct source, text from {documents} where not regexp_full_match(text, '\s*'))
+select source, count(*) as n_texts, true as whole_blocks, true as within_limit, true as own_orders from t group by source"""

@@ -9,6 +9,7 @@ The texts are then dealt to the planned places by their number within their leng
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from ..runtime import materialize, partitions, table
 from .budget import VOCABULARY, token_counts
 
 CAPACITY = 2048
-QUANTUM = 8  # lengths are planned in steps of so many tokens, rounded up
+QUANTUM = 4  # lengths are planned in steps of so many tokens, rounded up
 WINDOWS = (1, 2, 4, 8)  # a container is one window, or so many equal ones
 DEPTH = 3
 
@@ -43,18 +44,20 @@ def combinations(units: int, have: np.ndarray) -> list[tuple[int, ...]]:
     return found
 
 
-def nnls(matrix: np.ndarray, wanted: np.ndarray, rounds: int = 2000) -> np.ndarray:
+def nnls(matrix: np.ndarray, wanted: np.ndarray, rounds: int = 2000) -> tuple[np.ndarray, bool]:
     """x >= 0 that minimises |matrix x - wanted| (active sets: the column of the steepest descent enters, columns that
-    turn negative leave)."""
+    turn negative leave), and whether it settled within ``rounds``."""
     n = matrix.shape[1]
     x, used = np.zeros(n), np.zeros(n, dtype=bool)
     rest = wanted.astype(float).copy()
     tolerance = 1e-9 * max(1.0, float(np.abs(wanted).max(initial=0)))
+    settled = False
     for _ in range(rounds):
         slope = matrix.T @ rest
         slope[used] = -np.inf
         best = int(np.argmax(slope)) if n else 0
         if not n or slope[best] <= tolerance:
+            settled = True
             break
         used[best] = True
         while True:
@@ -82,9 +85,10 @@ def nnls(matrix: np.ndarray, wanted: np.ndarray, rounds: int = 2000) -> np.ndarr
                 break
         new = wanted - matrix @ x
         if not used[best] and np.allclose(new, rest):
+            settled = True
             break
         rest = new
-    return x
+    return x, settled
 
 
 @dataclass
@@ -96,6 +100,7 @@ class Plan:
     per: np.ndarray
     base: np.ndarray
     containers: int
+    settled: bool = True  # whether the least squares did; if not, the plan holds all the same, with more left to the greedy rest
 
 
 def plan(histogram: np.ndarray, windows: tuple[int, ...] = WINDOWS) -> Plan:
@@ -117,13 +122,14 @@ def plan(histogram: np.ndarray, windows: tuple[int, ...] = WINDOWS) -> Plan:
             left[unit] -= per * repeats
         base += repeats
 
-    total = int(left.sum())
+    total, settled = int(left.sum()), True
     if columns and total:
         matrix = np.zeros((units + 1, len(columns)))
         for j, (lengths, parts) in enumerate(columns):
             for v in lengths:
                 matrix[v, j] += parts
-        repeats = nnls(matrix, left / total) * total
+        repeats, settled = nnls(matrix, left / total)
+        repeats *= total
         for j in np.argsort(-repeats, kind="stable"):
             if repeats[j] < 0.5:
                 break
@@ -145,7 +151,7 @@ def plan(histogram: np.ndarray, windows: tuple[int, ...] = WINDOWS) -> Plan:
         place(counts, min(int(left[v]) // c for v, c in counts.items()))
     found = np.array(rows, dtype=np.int64).reshape(-1, 4)
     found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    return Plan(found[:, 0], found[:, 1], found[:, 2], found[:, 3], base)
+    return Plan(found[:, 0], found[:, 1], found[:, 2], found[:, 3], base, settled)
 
 
 def items(sized: DataFrame, identifier: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
@@ -173,6 +179,8 @@ def pack(sized: DataFrame, identifier: str = "doc_id", size: str = "n_tokens", c
     grid[counts["unit"].to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"]
     before = np.cumsum(grid, axis=1) - grid
     layout = plan(grid.sum(axis=1))
+    if not layout.settled:
+        warnings.warn("the least squares of the packing plan did not settle; the containers may be less full", stacklevel=2)
     first = np.searchsorted(layout.unit, np.arange(units + 2))
 
     order = Window.partitionBy("unit", "bucket").orderBy(identifier, "part", "tokens")
@@ -217,3 +225,18 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     packed = _packed(spark, folder).groupBy("container").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.count_if((F.col("n_parts") > 1) & (F.col("part") == 0)).alias("divided"))
     out = packed.agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("divided").alias("divided_texts"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
     return out.withColumns({"least_containers": F.expr(f"(tokens + {CAPACITY - 1}) div {CAPACITY}"), "fill": F.round(F.try_divide(F.col("tokens"), F.col("containers") * CAPACITY), 6)})
+
+
+def p6_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on packing the texts, measured in bytes, into containers of 2^16: items, divided texts, bytes, overfull containers,
+    items with another number of places than one, and whether the containers are within 2 % of the least number."""
+    capacity = 1 << 16
+    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", F.octet_length("text").alias("bytes"))
+    placed = pack(docs, "doc_id", "bytes", capacity, 128)
+    each = placed.groupBy("container").agg(F.sum("tokens").alias("filled"))
+    fill = each.agg(F.count("*").alias("containers"), F.count_if(F.col("filled") > capacity).alias("overfull"))
+    items = placed.groupBy("doc_id", "part").agg(F.count("*").alias("places"), F.sum("tokens").alias("tokens"), F.max("n_parts").alias("n_parts"))
+    out = items.agg(F.count("*").alias("items"), F.count_if((F.col("n_parts") > 1) & (F.col("part") == 0)).alias("divided_texts"), F.sum("tokens").alias("bytes"), F.count_if(F.col("places") != 1).alias("misplaced"))
+    tight = F.col("containers") <= F.ceil(F.col("bytes") / capacity) * 1.02 + 1
+    known = out.withColumns({c: fill.select(c).scalar() for c in ("containers", "overfull")})
+    return known.select("items", "divided_texts", "bytes", "overfull", "misplaced", tight.alias("tight"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import materialize, table
 from ..operators.records import labelled_records, usable_count, usable_loss
 
 BITS, TOP, DEPTH, WIDTH = 17, 11, 5, 512
@@ -269,3 +269,20 @@ def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
     """The partial results: size and bytes of the sketch of every group and day."""
     values = measures(table(spark, folder, "scores"), table(spark, folder, "doc_counts"))
     return sketches(values, GROUP, "day").select(*GROUP, "day", "n", F.length("sketch").alias("bytes"))
+
+
+def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Per group: usable values, and whether the exact rank of every estimated percentile lies within its bound."""
+    values = materialize(measures(table(spark, folder, "scores"), table(spark, folder, "doc_counts")), "values")
+    points = percentiles(merge(sketches(values, GROUP, "day"), GROUP), GROUP, POINTS)
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"v.{c}"))
+    x, step = F.col("v.value").cast("double"), 1 + 2.0**-9
+    met = points.alias("p").join(values.alias("v"), same)  # a group has as many rows as POINTS
+    counted = met.groupBy(*[F.col(f"p.{c}").alias(c) for c in GROUP], "q").agg(
+        F.first("p.n").alias("n"), F.first("rank_bound").alias("bound"), F.count_if(x < F.col("p.value") / step).alias("low"), F.count_if(x <= F.col("p.value") * step).alias("high"),
+    )
+    rank, slack = F.greatest(F.ceil(F.col("q") * F.col("n") / 100), F.lit(1)), F.col("bound") * F.col("n") + 1e-6
+    within = (F.col("low") - slack <= rank) & (rank <= F.col("high") + slack)
+    return counted.groupBy(*GROUP).agg(F.first("n").alias("n"), F.bool_and(within).alias("within"))

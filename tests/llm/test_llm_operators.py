@@ -368,7 +368,8 @@ def test_nnls():
     rng = np.random.default_rng(0)
     matrix = rng.random((20, 12))
     wanted = matrix @ np.maximum(rng.normal(size=12), 0)
-    x = packing.nnls(matrix, wanted)
+    x, settled = packing.nnls(matrix, wanted)
+    assert settled and not packing.nnls(matrix, wanted, rounds=0)[1]
     assert x.min() >= 0 and np.abs(matrix @ x - wanted).max() < 1e-6
     assert packing.combinations(4, np.array([0, 1, 1, 1, 1])) == [(4,), (1, 3), (1, 1, 2), (2, 2)]
 
@@ -448,10 +449,26 @@ def test_levels_of_odd_input(spark):
     labels = frame(spark, [(3, 1, "r"), (3, None, "r"), (5, 9, "r"), (77, 2, "r")], "doc_id long, reading_level int, rater string")
     texts = level.graded_texts(running, labels)
     assert [(t[0], t[1]) for t in texts] == [("und", [1.0, 0.0, 0.0, 0.0])]
-    assert {r.doc_id: (r.language, r.level) for r in level.graded(running, level.fit(texts), ["doc_id"]).collect()} == {3: ("und", None), 5: ("en", None)}
+    assert {r.doc_id: (r.language, r.level) for r in level.graded(running, level.fit(texts), ["doc_id"]).collect()} == {3: ("und", None), 5: ("de", None)}  # nothing is known of any language
     assert level.graded(running.limit(0), level.fit([]), ["doc_id"]).count() == 0
 
 
+def test_languages_are_learned_from_labels_of_which_some_are_wrong():
+    rng = random.Random(2)
+    own = {"en": "the of and a with", "de": "der und mit ein nicht", "fr": "le la et un avec"}
+    topics = [f"topic{i}" for i in range(40)]
+    texts = []
+    for i in range(600):
+        name = rng.choice(["en", "en", "de", "fr"])
+        counts = Counter(rng.choices(own[name].split(), k=8) + rng.choices(topics, k=12))
+        texts.append((name, rng.choice(["en", "de", "xx", None]) if i % 10 == 0 else name, counts))
+    model = level.fit_languages([(written, counts) for _, written, counts in texts])
+    assert {"en", "de", "fr"} <= set(model.names)
+    assert all(model.of(counts, written) == name for name, written, counts in texts)
+    assert model.of(Counter(["nothing"]), "it") == "it" and model.of(Counter(), None) == "und"
+    assert level.fit_languages([("en", Counter("ab"))] * 3).of(Counter("a"), None) == "und" and level.fit_languages([]).of(Counter("a"), "en") == "en"
+
+
 def test_schema_of_strings_is_kept(spark):
     docs = table(spark, FOLDER, "documents")
     assert budget.token_counts(docs, ["doc_id", "rank"]).schema["n_tokens"].dataType == T.LongType()
