@@ -13,20 +13,22 @@ COPY_BUCKETS = [(1, 1), (2, 2), (3, 4), (5, 16), (17, 100), (101, 1000), (1001,
 FREQUENCY_EDGES = [1e3, 1e4, 1e5, 1e6, 1e7]
 PERCENTILES = [1, 2, 5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90, 95, 98, 99]
 
-# Parameter name patterns and their block types, in order of precedence.
+# Parameter name patterns and their block types, in order of precedence; layer numbers; norms.
 BLOCK_PATTERNS = [
-    ("pos_embed", r"(^|\.)(wpe|position_embeddings|pos_embed)\.weight$"),
-    ("embed", r"(^|\.)(embed_tokens|wte|word_embeddings|tok_embeddings|embed)\.weight$"),
-    ("lm_head", r"(^|\.)(lm_head|unembed|output)\.weight$"),
-    ("attn_qkv", r"(^|\.)(qkv_proj|c_attn|query_key_value|Wqkv)\."),
-    ("attn_q", r"(^|\.)(q_proj|query|wq)\."),
-    ("attn_k", r"(^|\.)(k_proj|key|wk)\."),
-    ("attn_v", r"(^|\.)(v_proj|value|wv)\."),
-    ("attn_o", r"(^|\.)(o_proj|out_proj|wo|dense)\.|attn\.c_proj\."),
-    ("mlp_gate", r"(^|\.)(gate_proj|w1)\."),
-    ("mlp_up", r"(^|\.)(up_proj|c_fc|w3|fc1|dense_h_to_4h)\."),
-    ("mlp_down", r"(^|\.)(down_proj|w2|fc2|dense_4h_to_h)\.|mlp\.c_proj\."),
+    ("pos_embed", r"(?:^|\.)(wpe|position_embeddings|pos_embed)\.weight$"),
+    ("embed", r"(?:^|\.)(embed_tokens|wte|word_embeddings|tok_embeddings|embed)\.weight$"),
+    ("lm_head", r"(?:^|\.)(lm_head|unembed|output)\.weight$"),
+    ("attn_qkv", r"(?:^|\.)(qkv_proj|c_attn|query_key_value|Wqkv)\."),
+    ("attn_q", r"(?:^|\.)(q_proj|query|wq)\."),
+    ("attn_k", r"(?:^|\.)(k_proj|key|wk)\."),
+    ("attn_v", r"(?:^|\.)(v_proj|value|wv)\."),
+    ("attn_o", r"(?:^|\.)(o_proj|out_proj|wo|dense)\.|attn\.c_proj\."),
+    ("mlp_gate", r"(?:^|\.)(gate_proj|w1)\."),
+    ("mlp_up", r"(?:^|\.)(up_proj|c_fc|w3|fc1|dense_h_to_4h)\."),
+    ("mlp_down", r"(?:^|\.)(down_proj|w2|fc2|dense_4h_to_h)\.|mlp\.c_proj\."),
 ]
+LAYER_PATTERN = r"(?:^|\.)(?:layers|layer|h|blocks|block)\.(\d+)\."
+NORM_PATTERN = r"(?i)norm|(?:^|\.)ln_|layernorm"
 
 
 def digitize(x: Column, edges: Sequence[float]) -> Column:
@@ -97,7 +99,7 @@ def duration_seconds(text: Column) -> Column:
 
 def layer_of(name: Column) -> Column:
     """Layer index of a parameter, -1 outside layers."""
-    return F.coalesce(F.nullif(F.regexp_extract(name, r"(?:^|\.)(?:layers|layer|h|blocks|block)\.(\d+)\.", 1), F.lit("")).cast("int"), F.lit(-1))
+    return F.coalesce(F.nullif(F.regexp_extract(name, LAYER_PATTERN, 1), F.lit("")).cast("int"), F.lit(-1))
 
 
 def block_type(name: Column, dimensions: Column) -> Column:
@@ -106,7 +108,7 @@ def block_type(name: Column, dimensions: Column) -> Column:
     out = F.concat(F.lit("other_"), F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise(F.get(parts, F.lit(0))))
     for kind, pattern in reversed(BLOCK_PATTERNS):
         out = F.when(name.rlike(pattern), kind).otherwise(out)
-    flat = F.when(name.rlike(r"(?i)norm|(^|\.)ln_|layernorm"), "norm").when(name.endswith("bias"), "bias").otherwise("vector")
+    flat = F.when(name.rlike(NORM_PATTERN), "norm").when(name.endswith("bias"), "bias").otherwise("vector")
     return F.when(dimensions < 2, flat).otherwise(out)
 
 
@@ -162,3 +164,23 @@ def question_metrics(likelihoods: Column, choices: Column, gold: Column, greedy:
         F.when(many, F.get(softened, g) / total).alias("prob_norm"),
         F.when(many, F.get(each, g) - F.array_max(wrong)).alias("margin_char"),
     )
+
+
+def reached(x: Column, edges: Sequence[float]) -> Column:
+    """As ``digitize``, for many ascending edges: a binary search over a literal array."""
+    table, steps = F.array(*[F.lit(float(e)) for e in edges]), [1 << k for k in reversed(range(len(edges).bit_length()))]
+    place = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when((at + step <= len(edges)) & (F.get(table, at + step - 1) <= x), at + step).otherwise(at))
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), place)
+
+
+def logit_thresholds(n: int = 2001, eps: float = 1e-6) -> list[float]:
+    """n thresholds in (0, 1) with equal steps of their log odds."""
+    import math
+
+    top = math.log((1 - eps) / eps)
+    return [1 / (1 + math.exp(top - 2 * top * k / (n - 1))) for k in range(n)]
+
+
+def comparable(run: Column, reference: Column, prefix: str = "proxy") -> Column:
+    """Runs are compared with their like only: both of the kind that the prefix names, or neither."""
+    return run.startswith(prefix) == reference.startswith(prefix)

@@ -54,8 +54,9 @@ def uniform_selection(rows: DataFrame, seed: int, identifier: str, size: Column,
     return up_to(ordered, cuts, ["__h", identifier]).drop("__h")
 
 
-def dedup_stats(rows: DataFrame, key: str, rank: str, size: str, eval_from: int) -> DataFrame:
-    """One row: documents, distinct texts, training documents, kept, dropped as evaluation texts, sizes, most copies."""
+def dedup_stats(rows: DataFrame, key: str, rank: str, size: str, eval_from: int, selected: DataFrame | None = None, chars_per_token: float | None = None) -> DataFrame:
+    """One row: documents, distinct texts, training documents, kept, dropped as evaluation texts, sizes, most copies; with
+    ``selected`` rows their number and size, with ``chars_per_token`` that and the estimated tokens of the kept texts."""
     train = F.col(rank) < eval_from
     per_key = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.count_if(train).alias("n_train"), F.coalesce(F.sum(F.when(train, F.col(size))), F.lit(0)).alias("train_size"),
@@ -63,11 +64,17 @@ def dedup_stats(rows: DataFrame, key: str, rank: str, size: str, eval_from: int)
     )
     kept = F.col("in_eval") == 0
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return per_key.agg(
+    out = per_key.agg(
         total("n").alias("docs"), F.count("*").alias("unique_texts"), total("n_train").alias("train_docs"), F.count_if(kept).alias("train_docs_kept"),
         total(F.when(~kept, F.col("n_train"))).alias("train_docs_in_eval"), total("train_size").alias("train_chars"),
         total(F.when(kept, F.col("first_size"))).alias("train_chars_kept"), F.coalesce(F.max("n"), F.lit(0)).alias("max_copies"),
     )
+    if selected is not None:
+        picked = selected.agg(F.count("*").alias("n"), total(size).alias("s"))
+        out = out.withColumns({"train_docs_selected": picked.select("n").scalar(), "train_chars_selected": picked.select("s").scalar()})
+    if chars_per_token is not None:
+        out = out.withColumns({"est_unique_train_tokens": F.floor(F.col("train_chars_kept") / F.lit(chars_per_token)).cast("long"), "chars_per_token": F.lit(float(chars_per_token))})
+    return out
 
 
 def copies(rows: DataFrame, key: str, size: str) -> DataFrame:

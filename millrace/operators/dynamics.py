@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import stage
-from .prefix import ranges
+from .prefix import exact_quantiles, ranges
 
+# The metrics of the phase tables.
 PHASE_METRICS = ["grad_cos_prev", "overshoot_norm", "overshoot", "upd_grad_align", "D1>0", "upd_rel", "upd_row_cv", "upd_erank_frac", "delta_erank_frac", "w_srank"]
 
 
@@ -37,8 +38,9 @@ def stage_medians(metrics: DataFrame, max_steps: int, runs: str | None = None, w
     """Median of each metric and block in each stage (columns warmup, stable, decay), per run if there is a run column."""
     keys = [*([runs] if runs else []), "metric", "block"]
     staged = metrics.withColumn("stage", stage(F.col("step"), max_steps, warmup, decay))
-    # one aggregation; the stages are known, so no pivot needs to collect them
-    return staged.groupBy(*keys).agg(*[F.median(F.when(F.col("stage") == s, F.col("value"))).alias(s) for s in ("warmup", "stable", "decay")])
+    found = exact_quantiles(staged, "value", [0.5], [*keys, "stage"])
+    # the stages are known, so no pivot needs to collect them
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("stage") == s, F.col("quantile"))).alias(s) for s in ("warmup", "stable", "decay")])
 
 
 def wide_metrics(metrics: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -56,9 +58,11 @@ def phases(metrics: DataFrame, windows: dict[str, tuple[int, int]], names: Seque
     spans = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, (lo, hi) in windows.items()])
     placed = wide.withColumn("w", F.explode(F.filter(spans, lambda s: (s["lo"] <= F.col("step")) & (s["hi"] >= F.col("step")))))
     wanted = list(dict.fromkeys([*names, "overshoot", "overshoot_norm", "D1>0"]))
-    grouped = placed.groupBy(*keys[:-1], F.col("w.window").alias("window")).agg(*[(F.avg(f"`{n}`") if n == "D1>0" else F.median(f"`{n}`")).alias(n) for n in wanted])
-    stacked = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in wanted]))
-    return grouped.select(*keys[:-1], "window", stacked).where("value is not null")
+    stacked = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in wanted]))
+    long = placed.select(*keys[:-1], F.col("w.window").alias("window"), stacked).where("value is not null")
+    group = [*keys[:-1], "window", "metric"]
+    shares = long.where("metric = 'D1>0'").groupBy(*group).agg(F.avg("value").alias("value"))
+    return exact_quantiles(long.where("metric <> 'D1>0'"), "value", [0.5], group).select(*group, F.col("quantile").alias("value")).unionByName(shares)
 
 
 def baseline_deltas(values: DataFrame, run: str, baseline: str, keys: Sequence[str]) -> DataFrame:
@@ -108,10 +112,9 @@ def group_norms(tensors: DataFrame) -> DataFrame:
     cosines of the whole model, of each type, and of each layer and type (layers below 0 have no layer group)."""
     sums = ["gg_a", "gg_b", "g_ab", "ww", "vv_a", "vv_b", "v_ab", "ga_va", "gb_va", "n"]
     aggs = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in ("gmax_b", "vmax_a")]
-    whole = tensors.agg(*aggs).select(F.lit("global").alias("scope"), F.lit(None).cast("int").alias("layer"), F.lit(None).cast("string").alias("type"), *sums, "gmax_b", "vmax_a")
-    types = tensors.groupBy("type").agg(*aggs).select(F.lit("type").alias("scope"), F.lit(None).cast("int").alias("layer"), "type", *sums, "gmax_b", "vmax_a")
-    layers = tensors.where("layer >= 0").groupBy("layer", "type").agg(*aggs).select(F.lit("layer").alias("scope"), F.col("layer").cast("int"), "type", *sums, "gmax_b", "vmax_a")
-    every = whole.unionByName(types).unionByName(layers)
+    scope = F.when(F.grouping("layer") == 0, "layer").when(F.grouping("type") == 0, "type").otherwise("global")
+    sets = tensors.groupingSets([[], [F.col("type")], [F.col("layer"), F.col("type")]], F.col("layer"), F.col("type")).agg(scope.alias("scope"), *aggs)
+    every = sets.where("scope <> 'layer' or layer >= 0").withColumn("layer", F.col("layer").cast("int"))
     div = lambda a, b: F.when(b > 0, a / b)
     c = F.col
     d1 = div(c("gb_va"), F.sqrt("vv_a"))
@@ -173,7 +176,8 @@ def as_of(left: DataFrame, right: DataFrame, on: str, value: str, group: Sequenc
 def step_times(log: DataFrame, step: str, seconds: str, tokens: str, skip: int = 5) -> DataFrame:
     """One row: median and mean step time after the first ``skip`` steps, tokens per second."""
     rows = log.where(F.col(step) > skip)
-    return rows.agg(F.median(seconds).alias("median_s"), F.avg(seconds).alias("mean_s"), F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_s"))
+    middle = exact_quantiles(rows.withColumn("__all", F.lit(0)), seconds, [0.5], "__all").select("quantile")
+    return rows.agg(F.avg(seconds).alias("mean_s"), F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_s")).select(middle.scalar().alias("median_s"), "mean_s", "tokens_per_s")
 
 
 def parameter_table(parameters: DataFrame) -> DataFrame:

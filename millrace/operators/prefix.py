@@ -107,12 +107,15 @@ def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Se
     return numbered.join(wanted, [*group, "position"]).select(*group, "position", *order)
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group: str) -> DataFrame:
-    """group, ``q``, ``quantile``: exact quantiles with linear interpolation, of groups of any size; null values are left out.
+def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group: str | Sequence[str]) -> DataFrame:
+    """group, ``q``, ``quantile``: exact quantiles with linear interpolation, of groups of any size; null values are left out, a
+    null in the group's columns is a value like any other.
 
     The two neighbours of each quantile are looked up by position, instead of holding a group's values in one aggregation.
     """
-    clean = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("__x"))
+    names = [group] if isinstance(group, str) else list(group)
+    clean = df.where(F.col(value).isNotNull()).select(F.struct(*names).alias("__group"), F.col(value).cast("double").alias("__x"))
+    group = "__group"  # a struct is equal to another if their nulls are in the same places
     sizes = clean.groupBy(group).agg(F.count("*").alias("__n"))
     points = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("__h", F.col("q") * (F.col("__n") - 1))
     low = F.floor("__h").cast("long")
@@ -121,4 +124,4 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group
     found = rows_at(clean, places, ["__x"], [group])
     at = lambda side: found.select(group, F.col("position").alias(side), F.col("__x").alias(f"{side}_x"))
     joined = points.join(at("__lo"), [group, "__lo"]).join(at("__hi"), [group, "__hi"])
-    return joined.select(group, "q", (F.col("__lo_x") + F.col("__f") * (F.col("__hi_x") - F.col("__lo_x"))).alias("quantile"))
+    return joined.select(*[F.col(f"__group.`{n}`").alias(n) for n in names], "q", (F.col("__lo_x") + F.col("__f") * (F.col("__hi_x") - F.col("__lo_x"))).alias("quantile"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.exprs import clip, qc_passes
+from ..functions.exprs import clip, qc_passes, reached
 from ..functions.hashing import let
+from .prefix import exact_quantiles
 
 # The thresholds of the repetition and quality rules, and the stop words.
 DUPLICATE_LIMITS = {"dup_line_frac": 0.30, "dup_para_frac": 0.30, "dup_line_char_frac": 0.20, "dup_para_char_frac": 0.20}
@@ -71,48 +77,70 @@ def quality_reason(prefix: str = "") -> Column:
     )
 
 
-def ngram_features(docs: DataFrame, identifier: str, text: str) -> DataFrame:
-    """identifier, and per n the share of characters in the top n-gram (2 to 4) and in repeated n-grams (5 to 10).
-
-    Counting within a text is sequential, and of O(words) with hash tables; so it runs on Arrow batches.
+def _top_ngram(ends: np.ndarray, grams: np.ndarray, n: int) -> int:
+    """Characters of all occurrences of the most frequent n-gram (words and single spaces); the longest, if several are."""
+    _, first, counts = np.unique(grams, return_index=True, return_counts=True)
+    most = counts.max()
+    start = first[counts == most]
+    return int((ends[start + n] - ends[start]).max() + n - 1) * int(most)
+
+
+def _repeated_ngrams(grams: np.ndarray, ends: np.ndarray, n: int) -> int:
+    """Characters of words in n-grams that repeat an earlier one; after a repeat the search goes on behind it."""
+    if len(np.unique(grams)) == len(grams):
+        return 0
+    seen: set[int] = set()
+    values, total, i = grams.tolist(), 0, 0
+    while i < len(values):
+        if values[i] in seen:
+            total += int(ends[i + n] - ends[i])
+            i += n
+        else:
+            seen.add(values[i])
+            i += 1
+    return total
+
+
+def ngram_shares(text: str) -> list[float]:
+    """Share of the characters in the top n-gram (TOP_NGRAM_LIMITS) and in repeated n-grams (DUP_NGRAM_LIMITS) of a text."""
+    words = text.split()
+    place: dict[str, int] = {}
+    ids = np.array([place.setdefault(w, len(place)) for w in words], dtype=np.uint64)
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+    mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    rolled, out = np.zeros(len(words) + 1, np.uint64), {}
+    with np.errstate(over="ignore"):
+        for n in range(1, max(*TOP_NGRAM_LIMITS, *DUP_NGRAM_LIMITS) + 1):  # n-gram hashes from those of n - 1
+            size = len(words) - n + 1
+            if size <= 0:
+                break
+            rolled = (rolled[:size] ^ (rolled[:size] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + mixed[n - 1 : n - 1 + size]
+            if n in TOP_NGRAM_LIMITS:
+                out[n] = _top_ngram(ends, rolled, n)
+            elif n in DUP_NGRAM_LIMITS:
+                out[n] = _repeated_ngrams(rolled, ends, n)
+    return [out.get(n, 0) / max(1, len(text)) for n in (*TOP_NGRAM_LIMITS, *DUP_NGRAM_LIMITS)]
+
+
+NGRAM_NAMES = [f"top_{n}gram" for n in TOP_NGRAM_LIMITS] + [f"dup_{n}gram" for n in DUP_NGRAM_LIMITS]
+
+
+def ngram_features(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep``, and per n the share of characters in the top n-gram (2 to 4) and in repeated n-grams (5 to 10); zeros for a null text.
+
+    The words of a text are numbered once, and its n-gram hashes follow from those of n - 1 on arrays; only texts that repeat
+    an n-gram are searched in order.
     """
-    names = [f"top_{n}gram" for n in TOP_NGRAM_LIMITS] + [f"dup_{n}gram" for n in DUP_NGRAM_LIMITS]
-    schema = docs.select(identifier)
-    from pyspark.sql.types import DoubleType
-
-    out_schema = schema.schema
-    for n in names:
-        out_schema = out_schema.add(n, DoubleType())
-
-    def measure(batches):
-        from collections import Counter
-
-        import pyarrow as pa
+    schema = docs.select(*keep).schema
+    for n in NGRAM_NAMES:
+        schema = schema.add(n, T.DoubleType())
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: [] for n in names}
-            for value in batch.column(1).to_pylist():
-                words = (value or "").split()
-                size = max(1, len(value or ""))
-                for n in TOP_NGRAM_LIMITS:
-                    grams = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-                    most = max(grams.values(), default=0)
-                    top = max((g for g, k in grams.items() if k == most), key=len, default="")
-                    columns[f"top_{n}gram"].append(len(top) * most / size)
-                for n in DUP_NGRAM_LIMITS:
-                    seen, repeated, i = set(), 0, 0
-                    while i < len(words) - n + 1:
-                        gram = "".join(words[i : i + n])
-                        if gram in seen:
-                            repeated += len(gram)
-                            i += n
-                        else:
-                            seen.add(gram)
-                            i += 1
-                    columns[f"dup_{n}gram"].append(repeated / size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[n], pa.float64()) for n in names]], names=[identifier, *names])
-
-    return docs.select(identifier, text).mapInArrow(measure, out_schema)
+            found = np.array([ngram_shares(t or "") for t in batch.column(len(keep)).to_pylist()]).reshape(-1, len(NGRAM_NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[:, k]) for k in range(len(NGRAM_NAMES)))], names=schema.names)
+
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(measure, schema)
 
 
 def repetition_reason() -> Column:
@@ -127,12 +155,24 @@ def repetition_reason() -> Column:
 def filtered(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """identifier and ``drop_reason``: the first repetition or else quality rule that the text fails; null if it is kept.
 
-    A null text is dropped as ``short``. Rows with equal identifiers must have equal texts.
+    A null text is dropped as ``short``; repeated identifiers are rows of their own. One pass: the line and paragraph features are
+    columns that go with the text to the n-gram pass, so nothing is shuffled.
     """
-    features = docs.select(identifier, *[c.alias(n) for n, c in text_features(F.coalesce(F.col(text), F.lit(""))).items()])
-    grams = ngram_features(docs, identifier, text).dropDuplicates([identifier])
-    joined = features.join(grams, identifier, "left")
-    return joined.select(identifier, F.coalesce(repetition_reason(), quality_reason()).alias("drop_reason"))
+    features = text_features(F.coalesce(F.col(text), F.lit("")))
+    measured = docs.select(F.col(identifier), F.col(text).alias("__t"), *[c.alias(n) for n, c in features.items()])
+    return ngram_features(measured, [identifier, *features], "__t").select(identifier, F.coalesce(repetition_reason(), quality_reason()).alias("drop_reason"))
+
+
+def step_counts(reasons: DataFrame) -> DataFrame:
+    """Per filter step, in order: texts that come in, that it drops, and that go on. One row per step."""
+    order = [*DUPLICATE_LIMITS, *NGRAM_NAMES, "short", "word_length", "symbols", "bullets", "ellipses", "stop_words"]
+    counted = reasons.groupBy("drop_reason").agg(F.count("*").alias("n"))
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(name).alias("drop_reason")) for k, name in enumerate(order)])
+    all_steps = reasons.sparkSession.range(1).select(F.inline(steps)).join(counted, "drop_reason", "left").fillna(0, ["n"])
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # twenty rows
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    left = total - F.sum("n").over(before)
+    return all_steps.select("step", "drop_reason", (left + F.col("n")).alias("texts"), F.col("n").alias("dropped"), left.alias("kept"))
 
 
 def scan_stats(docs: DataFrame, group: str, size: str, score: str, limit: float) -> DataFrame:
@@ -152,11 +192,8 @@ def survival(scores: DataFrame, score: str, weight: Column, thresholds: list[flo
     cumulative sums run; NaN and null scores are left out.
     """
     spark = scores.sparkSession
-    edges = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
     clean = scores.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    # number of thresholds that the score reaches, by bisection over the literal array
-    reached = F.size(F.filter(edges, lambda t: t <= F.col(score)))
-    cells = clean.groupBy(reached.alias("cell")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    cells = clean.groupBy(reached(F.col(score), sorted(thresholds)).alias("cell")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(sorted(thresholds))], "cell int, threshold double")
     above = Window.orderBy(F.col("cell").desc())  # one row per threshold
     joined = spark.range(len(thresholds) + 1).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left").join(grid, "cell", "left").fillna(0, ["n", "w"])
@@ -172,9 +209,10 @@ def tokens_left(curve: DataFrame, scored_tokens: float, other_tokens: float) ->
 
 def group_quality(scores: DataFrame, group: str, score: str, weight: str, high: float = 0.5) -> DataFrame:
     """Per group: median score, weighted share of scores of at least ``high``, share of the weight."""
-    return scores.groupBy(group).agg(
-        F.round(F.median(score), 6).alias("median"), F.round(F.try_divide(F.sum(F.when(F.col(score) >= high, F.col(weight)).otherwise(0)), F.sum(weight)), 6).alias("high_share"), F.sum(weight).alias("weight"),
-    ).withColumn("weight_share", F.round(F.try_divide("weight", F.sum("weight").over(Window.partitionBy())), 6))
+    middle = exact_quantiles(scores, score, [0.5], group).select(F.col(group).alias("__group"), F.round("quantile", 6).alias("median"))
+    totals = scores.groupBy(group).agg(F.round(F.try_divide(F.sum(F.when(F.col(score) >= high, F.col(weight)).otherwise(0)), F.sum(weight)), 6).alias("high_share"), F.sum(weight).alias("weight"))
+    joined = totals.join(middle, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
+    return joined.withColumn("weight_share", F.round(F.try_divide("weight", F.sum("weight").over(Window.partitionBy())), 6))
 
 
 def clipped(score: Column, eps: float = 1e-6) -> Column:

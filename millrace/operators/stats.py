@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import PERCENTILES, digitize
 from ..functions.hashing import uniform
 from ..runtime import small
+from .prefix import running_total
 
 
 def weighted_average(value: Column, weight: Column) -> Column:
@@ -22,20 +23,17 @@ def weighted_percentiles(rows: DataFrame, group: str, value: str, weights: dict[
     """Per group and in all (``ALL``), for each weighting: the smallest value at which the cumulative share of the weight
     reaches the percentile.
 
-    Rows are first summed by (group, value), so equal values are one row. Cumulative sums run in two steps: within ranges of
-    values (64 per group, by approximate percentiles), and over the ranges' totals; so a group of any size is spread.
+    Rows are first summed by (group, value), so equal values are one row. The cumulative weights are distributed prefix sums, so
+    a group of any size is spread over as many ranges as it needs.
     """
     both = rows.select(F.col(group).alias("group"), F.col(value).cast("double").alias("x"), *[w.cast("double").alias(f"w_{n}") for n, w in weights.items()]).where("x is not null")
     everything = both.withColumn("group", F.explode(F.array(F.col("group"), F.lit("ALL"))))
     summed = everything.groupBy("group", "x").agg(*[F.sum(f"w_{n}").alias(f"w_{n}") for n in weights])
-    edges = everything.groupBy("group").agg(F.percentile_approx("x", [k / 64 for k in range(1, 64)], 1000).alias("edges"))
-    placed = summed.join(small(edges), "group").withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")
-    stacked = placed.select("group", "range", "x", F.inline(F.array(*[F.struct(F.lit(n).alias("weight"), F.col(f"w_{n}").alias("w")) for n in weights])))
-    totals = stacked.groupBy("group", "weight", "range").agg(F.sum("w").alias("here"))
-    earlier = Window.partitionBy("group", "weight").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumns({"before": F.coalesce(F.sum("here").over(earlier), F.lit(0.0)), "whole": F.sum("here").over(Window.partitionBy("group", "weight"))})
-    inside = Window.partitionBy("group", "weight", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cumulative = stacked.join(offsets.drop("here"), ["group", "weight", "range"]).withColumn("share", F.try_divide(F.sum("w").over(inside) + F.col("before"), "whole"))
+    stacked = summed.select("group", "x", F.inline(F.array(*[F.struct(F.lit(n).alias("weight"), F.col(f"w_{n}").alias("w")) for n in weights])))
+    whole = small(stacked.groupBy(F.col("group").alias("__g"), F.col("weight").alias("__w")).agg(F.sum("w").alias("whole")))
+    running = running_total(stacked, ["x"], F.col("w"), ["group", "weight"])
+    joined = running.join(whole, F.col("group").eqNullSafe(F.col("__g")) & (F.col("weight") == F.col("__w")))
+    cumulative = joined.withColumn("share", F.try_divide("cum", "whole"))
     reached = [F.min(F.when(F.col("share") >= F.lit(q / 100 - 1e-12), F.col("x"))).alias(f"p{q}") for q in points]
     return cumulative.groupBy("group", "weight").agg(*reached)
 
@@ -179,3 +177,25 @@ def paired_delta(model: DataFrame, reference: DataFrame, keys: Sequence[str], va
     d = both.withColumn("d", F.col("m") - F.col("r")).where("d is not null").agg(F.count("*").alias("n"), F.avg("d").alias("delta"), F.stddev_samp("d").alias("sd"))
     error = F.when(F.col("n") >= 2, F.col("sd") / F.sqrt("n"))
     return d.select("n", "delta", error.alias("stderr"), F.try_divide("delta", F.nullif(error, F.lit(0.0))).alias("z"))
+
+
+def largest(groups: DataFrame, group: str, size: str, k: int = 25) -> DataFrame:
+    """The k groups of the greatest size, in that order (ties by name)."""
+    return groups.orderBy(F.col(size).desc(), F.col(group)).limit(k)
+
+
+def document_buckets(rows: DataFrame, document: str, bucket: str, count: str, losses: Sequence[str]) -> DataFrame:
+    """document x bucket: predictions and the sum of each loss; the table that breakdowns and their intervals rest on."""
+    return rows.groupBy(document, bucket).agg(F.sum(count).alias(count), *[F.sum(c).alias(c) for c in losses])
+
+
+def loss_breakdown(buckets: DataFrame, bucket: str, count: str, base: str, others: Sequence[str] = (), min_share: float = 0.0) -> DataFrame:
+    """Per bucket: predictions, their share, the base's mean loss, and each other model's difference to it (``delta_<name>``).
+
+    Buckets with fewer predictions than 1 or ``min_share`` of all are left out; the shares are of all predictions.
+    """
+    totals = buckets.groupBy(bucket).agg(F.sum(count).alias("predictions"), *[F.sum(c).alias(c) for c in (base, *others)])
+    all_of = F.sum("predictions").over(Window.partitionBy())  # one row per bucket
+    shown = totals.withColumn("__all", all_of).where(F.col("predictions") >= F.greatest(F.lit(1.0), F.lit(float(min_share)) * F.col("__all")))
+    mean = lambda c: F.try_divide(F.col(c), F.col("predictions"))
+    return shown.select(bucket, "predictions", (F.col("predictions") / F.col("__all")).alias("share"), mean(base).alias("loss"), *[(mean(c) - mean(base)).alias(f"delta_{c}") for c in others])

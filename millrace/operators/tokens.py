@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import let
 from .prefix import running_total
@@ -78,11 +80,8 @@ def blocks(docs: DataFrame, order: list[str], ids: str, block_size: int) -> Data
 
 def position_ids(ids: Column) -> Column:
     """Position of each token in its segment; segments start at the block's start and at every BOS."""
-    counted = F.aggregate(
-        ids, F.struct(F.lit(-1).alias("p"), F.array().cast("array<int>").alias("out")),
-        lambda acc, t: F.struct(F.when(t == BOS, 0).otherwise(acc["p"] + 1).alias("p"), F.concat(acc["out"], F.array(F.when(t == BOS, 0).otherwise(acc["p"] + 1))).alias("out")),
-    )
-    return counted["out"]
+    spans = let(segment_starts(ids), lambda starts: F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda k: F.sequence(F.lit(0), F.get(starts, k) - F.get(starts, k - 1) - 1)))
+    return F.when(F.size(ids) > 0, F.flatten(spans)).otherwise(F.array().cast("array<int>"))
 
 
 def segment_starts(ids: Column) -> Column:
@@ -118,8 +117,13 @@ def document_loss(docs: DataFrame, identifier: str, ids: str, window: int = 2048
 
 
 def score_unique(rows: DataFrame, key: str, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Score each distinct key once and give its score to all rows: ``scorer`` maps (key, ...) rows to (key, scores)."""
-    return rows.join(scorer(rows.dropDuplicates([key])), key, "left")
+    """Score each distinct key once and give its score to all rows: ``scorer`` maps (key, ...) rows to (key, scores). The query
+    fails if it gives a key two scores, which would multiply rows."""
+    scored = scorer(rows.dropDuplicates([key]))
+    values = [c for c in scored.columns if c != key]
+    once = scored.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*values)).alias("__s"))
+    fine = F.when(F.col("__n") == 1, F.col("__s")).otherwise(F.raise_error(F.lit("a key was scored twice")))
+    return rows.join(once.select(key, fine.alias("__s")), key, "left").select(*rows.columns, *[F.col(f"__s.`{c}`").alias(c) for c in values])
 
 
 def protocol_losses(blocks_: DataFrame, ids: str = "ids") -> DataFrame:
@@ -141,3 +145,92 @@ def protocol_losses(blocks_: DataFrame, ids: str = "ids") -> DataFrame:
 def islands_of(flags: DataFrame, group: str, order: str, flag: Column) -> DataFrame:
     """Add ``segment``: running number of set flags within the group (a block or a document, so of bounded size)."""
     return flags.withColumn("segment", F.sum(flag.cast("int")).over(Window.partitionBy(group).orderBy(order)))
+
+
+def truncated(ids: Column, prefix: int = 512) -> Column:
+    """The first tokens of a document, as many as are scored."""
+    return F.slice(ids, 1, prefix)
+
+
+def aligned(a: Column, b: Column, names: tuple[str, str] = ("a", "b")) -> Column:
+    """Two arrays zipped by position; the query fails if their lengths differ."""
+    zipped = F.arrays_zip(a.alias(names[0]), b.alias(names[1]))
+    return F.when(F.size(a) == F.size(b), zipped).otherwise(F.raise_error(F.lit("arrays of different lengths")))
+
+
+def copied_ranges(docs: DataFrame, chosen: DataFrame, identifier: str, order: list[str], ids: str = "ids") -> DataFrame:
+    """The token ranges of the chosen documents (``identifier``), in ``order``: identifier, ``start`` in the new stream, ``n``, ids. The
+    query fails if a range does not begin with BOS and end with EOS."""
+    kept = docs.join(chosen.select(identifier).distinct(), identifier, "left_semi")
+    whole = (F.get(ids, F.lit(0)) == BOS) & (F.element_at(ids, -1) == EOS)
+    checked = F.when((F.size(ids) > 1) & whole, F.col(ids)).otherwise(F.raise_error(F.lit("a range is no whole document")))
+    sized = kept.select(*dict.fromkeys([identifier, *order]), checked.alias(ids)).withColumn("n", F.size(ids))
+    return starts_of(sized, order, "n")
+
+
+def alignment(docs: DataFrame, ids: str = "ids") -> DataFrame:
+    """One row: documents, document boundaries in their tokens, and whether there is one for each."""
+    counted = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size(boundaries(F.col(ids)))), F.lit(0)).alias("boundaries"))
+    return counted.withColumn("aligned", F.col("documents") == F.col("boundaries"))
+
+
+Scorer = Callable[[], Callable[[list[list]], list[list[float]]]]
+
+
+def score_stream(docs: DataFrame, identifier: str, ids: str, scorer: Scorer, window: int = 2048, batch_tokens: int = 65_536, per_token: bool = False) -> DataFrame:
+    """identifier, ``mean_loss``, ``n_pred`` (and ``losses``, one per prediction) by any model of the next token.
+
+    ``scorer()`` is called once per task and gives a function of a batch of windows: for each, the loss of every token but its
+    first. Documents are cut into windows; batches hold whole windows of at most ``batch_tokens`` tokens (a longer one alone). A
+    document without prediction has a null loss; null arrays count as empty.
+    """
+    schema = docs.select(identifier).schema.add("mean_loss", T.DoubleType()).add("n_pred", T.IntegerType())
+    schema = schema.add("losses", T.ArrayType(T.DoubleType())) if per_token else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            found: list[list[float]] = [[] for _ in range(batch.num_rows)]
+            held: list[tuple[int, list]] = []
+
+            def flush() -> None:
+                for (row, _), losses in zip(held, score([w for _, w in held]) if held else [], strict=True):
+                    found[row].extend(losses)
+                held.clear()
+
+            size = 0
+            for row, tokens in enumerate(batch.column(1).to_pylist()):
+                for at in range(0, len(tokens or []), window):
+                    part = tokens[at : at + window]
+                    if held and size + len(part) > batch_tokens:
+                        flush()
+                        size = 0
+                    held.append((row, part))
+                    size += len(part)
+            flush()
+            columns = [batch.column(0), pa.array([sum(x) / len(x) if x else None for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(found, pa.list_(pa.float64()))] if per_token else [])], names=schema.names)
+
+    return docs.select(identifier, ids).mapInArrow(run, schema)
+
+
+MAX_VOCABULARY = 1_000_000
+
+
+def unigram_scorer(docs: DataFrame, ids: str) -> Scorer:
+    """Losses -ln p(token), p by the counts of all documents. The table goes to the tasks: a vocabulary of at most
+    MAX_VOCABULARY tokens, else it fails; ``document_loss`` has no such bound."""
+    rows = token_counts(docs, ids).limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} different tokens")
+    total = sum(r.n for r in rows)
+    losses = docs.sparkSession.sparkContext.broadcast({r.token: -math.log(r.n / total) for r in rows})
+    return lambda: lambda windows: [[losses.value[t] for t in w[1:]] for w in windows]
+
+
+def batch_check(docs: DataFrame, identifier: str, ids: str, scorer: Scorer, window: int = 2048, n: int = 20) -> DataFrame:
+    """One row: documents checked (the first ``n`` with two tokens or more), and the greatest difference of their losses scored in
+    batches and one by one."""
+    few = docs.where(F.size(ids) >= 2).orderBy(identifier).limit(n)
+    both = score_stream(few, identifier, ids, scorer, window).join(score_stream(few, identifier, ids, scorer, window, batch_tokens=1).withColumnRenamed("mean_loss", "__single"), identifier)
+    return both.agg(F.count("*").alias("documents"), F.coalesce(F.max(F.abs(F.col("mean_loss") - F.col("__single"))), F.lit(0.0)).alias("max_difference"))

@@ -108,3 +108,20 @@ def batches(samples: DataFrame, identifier: str, stages: Sequence[tuple[int, int
         micro = F.when(inside, F.floor(((local + 1) * k - 1) / b).cast("long")).otherwise(micro)
         begin, first = begin + b * n, first + n
     return ordered.select(identifier, step.alias("step"), micro.alias("micro"))
+
+
+def noise_blocks(samples: DataFrame, identifier: str, stages: Sequence[tuple[int, int]], seed: int, every: int, world: int = 1, accumulate: int = 1) -> DataFrame:
+    """(identifier, measurement, rank, pair): the blocks for noise measurements, from those that the plan's order of samples never
+    trains on. Each measurement (one per ``every`` steps) and rank has two micro-batches of the size at its step, in a stretch
+    of the tail that no other shares. Fails if the tail is too short."""
+    used, steps = sum(b * n for b, n in stages), sum(n for _, n in stages)
+    stride = max(b for b, _ in stages) // (world * accumulate)
+    measurements = steps // every + 1
+    if samples.count() - used < measurements * world * 2 * stride:
+        raise ValueError("not enough unused blocks for the noise measurements")
+    ordered = running_total(samples.select(identifier).withColumn("__h", hash64(seed, F.col(identifier))), ["__h", identifier], name="__n")
+    tail = ordered.where(F.col("__n") > used).withColumn("__t", F.col("__n") - 1 - used)
+    slot, offset = F.expr(f"cast(__t div {2 * stride} as int)"), F.expr(f"cast(__t % {2 * stride} as int)")
+    measured = tail.withColumns({"measurement": F.expr(f"cast(__t div {2 * stride * world} as int)"), "rank": F.pmod(slot, F.lit(world)), "__o": offset})
+    size = F.floor(batch_at(F.col("measurement") * every, stages) / (world * accumulate)).cast("int")
+    return measured.withColumn("__m", size).where(F.col("measurement") < measurements).where(F.col("__o") < 2 * F.col("__m")).select(identifier, "measurement", "rank", F.floor(F.col("__o") / F.col("__m")).cast("int").alias("pair"))

@@ -5,16 +5,20 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, fields
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import last_match
 from ..functions.labels import directory, parse_dir
+from ..operators.dynamics import as_of
 
 METADATA = "struct<text_hash:string,weborganizer_max:string,original_word_count:int,language:string,dolma2_qc:map<string,double>>"
 DOCUMENT = f"struct<id:string,text:string,metadata:{METADATA}>"
 QC_FIELD = r'"dolma2_qc":\s*(\{[^{}]*\})'  # fixed value: where a line has its quality scores
+LOG_PATTERN = r"'eval_loss': '([0-9.]+)'.{0,300}?'total_tokens_seen': ([0-9]+)"  # fixed value: a loss and its tokens in a log
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -78,24 +82,40 @@ def with_offsets(catalog: DataFrame) -> DataFrame:
     return ends.withColumn("lo", F.col("hi") - F.col("n_docs")).withColumn("__d", labels).select(*catalog.columns, "lo", "hi", "__d.source", "__d.topic", "__d.vigintile")
 
 
+MAX_FILES = 1_000_000  # up to which the bounds of the files go to the tasks (24 MB)
+
+
 def locate(rows: DataFrame, catalog: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Rows with the ``shard`` and ``shard_offset`` of their row id; ids outside the catalog get nulls.
+    """Rows with the ``shard`` and ``shard_offset`` of their row id; ids outside the catalog and null ids get nulls.
 
-    The bounds of the files (one row each, so of the size of the catalog) are one sorted literal array, searched per row; no
-    range join multiplies the rows. Columns of these names are replaced.
+    The bounds of up to MAX_FILES files are sorted arrays that go to the tasks, where each id is found by binary search; only the
+    ids pass through Python. Beyond that, an as-of join over ranges finds the last file that begins at or before the id.
+    Columns of these names are replaced.
     """
     rows = rows.drop("shard", "shard_offset")
-    bounds = [(r.hi, r.lo, r.shard) for r in with_offsets(catalog).select("hi", "lo", "shard").orderBy("lo").collect()]
-    if not bounds:
-        return rows.withColumns({"shard": F.lit(None).cast("int"), "shard_offset": F.lit(None).cast("long")})
-    spark = rows.sparkSession
-    width = max(1, max(hi - lo for hi, lo, _ in bounds))
-    # a file covers few cells of this width, so an equi-join on the cell and a check of the range find the file
-    cells = [(cell, lo, hi, shard) for hi, lo, shard in bounds for cell in range(lo // width, (hi - 1) // width + 1) if hi > lo]
-    table = spark.createDataFrame(cells, "__cell long, __lo long, __hi long, shard int")
-    keyed = rows.withColumn("__cell", F.expr(f"{row_id} div {width}"))
-    inside = (keyed["__cell"] == table["__cell"]) & (keyed[row_id] >= table["__lo"]) & (keyed[row_id] < table["__hi"])
-    return keyed.join(F.broadcast(table), inside, "left").select(*[keyed[c] for c in rows.columns], "shard", (F.col(row_id) - F.col("__lo")).alias("shard_offset"))
+    bounds = with_offsets(catalog).where("n_docs > 0").select("lo", "hi", "shard")
+    found = bounds.limit(MAX_FILES + 1).toPandas()
+    if len(found) > MAX_FILES:
+        file = bounds.select(F.col("lo").alias(row_id), F.struct("lo", "hi", "shard").alias("__file"))
+        located = as_of(rows, file, row_id, "__file")
+        inside = F.col(row_id) < F.col("__file.hi")
+        return located.select(*rows.columns, F.when(inside, F.col("__file.shard")).cast("int").alias("shard"), F.when(inside, F.col(row_id) - F.col("__file.lo")).alias("shard_offset"))
+    found = found.sort_values("lo")
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy(np.int64) for c in ("lo", "hi", "shard")))
+
+    @F.pandas_udf("shard int, shard_offset long")
+    def search(ids: pd.Series) -> pd.DataFrame:
+        lo, hi, shard = sent.value
+        known = ids.notna().to_numpy()
+        values = ids.fillna(-1).to_numpy(np.int64)
+        at = np.searchsorted(lo, values, side="right") - 1
+        known &= (at >= 0) & (values < hi[at]) if len(lo) else False
+        out = pd.DataFrame({"shard": shard[at] if len(lo) else 0, "shard_offset": values - (lo[at] if len(lo) else 0)}, index=ids.index).astype("Int64")
+        out.loc[~known, :] = pd.NA
+        return out
+
+    placed = rows.withColumn("__at", search(F.col(row_id).cast("long")))
+    return placed.select(*rows.columns, "__at.shard", "__at.shard_offset")
 
 
 def eval_samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,8 +134,7 @@ def eval_samples(spark: SparkSession, folder: str) -> DataFrame:
 def eval_losses(logs: DataFrame, tokens_per_step: int, text: str = "value", run: str = "run") -> DataFrame:
     """(run, step, loss) from whole log texts: pairs of ``'eval_loss': 'x'`` and a following ``'total_tokens_seen': n`` in the
     next 300 characters; the last value of a step wins."""
-    pattern = r"'eval_loss': '([0-9.]+)'.{0,300}?'total_tokens_seen': ([0-9]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("loss"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("seen"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LOG_PATTERN), F.lit(1)).alias("loss"), F.regexp_extract_all(text, F.lit(LOG_PATTERN), F.lit(2)).alias("seen"))
     found = logs.select(run, F.posexplode(pairs).alias("at", "p"))
     step = F.round(F.col("p.seen").cast("double") / tokens_per_step).cast("long")
     return found.groupBy(run, step.alias("step")).agg(F.max_by(F.col("p.loss").cast("double"), "at").alias("loss"))
@@ -123,7 +142,7 @@ def eval_losses(logs: DataFrame, tokens_per_step: int, text: str = "value", run:
 
 @dataclass
 class Config:
-    """Options of the pipeline, with the defaults of the project."""
+    """Options of the pipeline; the defaults are fixed values, those of the project."""
 
     tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     train_frac: float = 0.05

@@ -34,7 +34,8 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
 
 def write_tokens(docs: DataFrame, path: str, order: list[str], ids: str = "ids") -> DataFrame:
     """Write the documents' tokens as uint32 records by ``order``: a table of parts (``part``, ``start``, ``tokens``, ``data``)
-    that, read by ``start``, are the stream. Returns the parts' catalog; checks that the lengths agree.
+    that, read by ``start``, are the stream. Returns the parts' catalog; checks that the lengths agree and that no part ends in zeros,
+    as one would whose writing broke off.
 
     Documents know their offsets (a distributed prefix sum), so tasks write their own ranges and nothing is collected.
     """
@@ -50,9 +51,9 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], ids: str = "ids")
 
     ranged.mapInArrow(join, "start long, tokens long, data binary").write.mode("overwrite").parquet(path)
     parts = spark.read.parquet(path)
-    bad = parts.where(F.length("data") != F.col("tokens") * 4).limit(1).count()
-    if bad:
-        raise ValueError(f"{path}: a part's length differs from its number of tokens")
+    tail = F.substring("data", -4, 4)
+    if parts.where((F.length("data") != F.col("tokens") * 4) | ((F.col("tokens") > 0) & (tail == F.lit(bytes(4))))).limit(1).count():
+        raise ValueError(f"{path}: a part's length differs from its number of tokens, or its tail is zero")
     return parts.select("start", "tokens")
 
 
@@ -69,12 +70,29 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_tokens(spark: SparkSession, path: str, file: str) -> int:
-    """One local uint32 file of a token table, part by part (never the whole stream in memory); returns the tokens written."""
-    written = 0
-    with open(file, "wb") as out:
-        for row in spark.read.parquet(path).orderBy("start").toLocalIterator():
-            out.write(row.data)
-            written += row.tokens
+    """One uint32 file of a token table; returns the tokens written. Tasks write their parts at their places into a file that is
+    laid out first, so nothing passes through the driver; the file must be visible under this path to all executors. A
+    repeated task writes the same bytes again. The file gets its name when it is whole."""
+    import os
+
+    parts = spark.read.parquet(path)
+    total = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    with open(f"{file}.tmp", "wb") as out:
+        out.truncate(total * 4)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        with open(f"{file}.tmp", "r+b") as out:
+            for batch in batches:
+                for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    out.seek(start * 4)
+                    written += out.write(data.as_buffer()) // 4
+        yield pa.record_batch([pa.array([written], pa.int64())], names=["tokens"])
+
+    written = parts.select("start", "data").mapInArrow(write, "tokens long").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if written != total:
+        raise ValueError(f"{file}: {written} of {total} tokens written")
+    os.replace(f"{file}.tmp", file)
     return written
 
 
