@@ -105,7 +105,8 @@ def low64(decimal: Column) -> Column:
 @F.pandas_udf(T.LongType())
 def blake2_key(texts: pd.Series) -> pd.Series:
     """64-bit blake2b of the UTF-8 text, little-endian, as signed bits; null for null."""
-    return texts.map(lambda t: None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True)).astype("Int64")
+    keys = [None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+    return pd.Series(pd.array(keys, dtype="Int64"), index=texts.index)  # not by way of floats, which would round keys next to a null
 
 
 def dedup_key(text_hash: Column, text: Column) -> Column:

@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs, labels
-from ..functions.hashing import hash_sample, sql_hash64
-from ..operators import dedup, neardup, prefix, quality, select, stats, tokens
+from ..functions.hashing import blake2_key, hash_sample, sql_hash64
+from ..operators import dedup, neardup, prefix, quality, records, select, stats, tokens
 from ..runtime import table
 from ..sources import corpus
+from . import sql
 
 SEED = 20_261_015
 Q: dict = {}
 SQL: dict = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     def add(f):
         Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if text:
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -34,10 +35,10 @@ def r(c, digits: int = 6):
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and evaluation documents with a rank and a text: rank, key, chars."""
+    """Documents and evaluation documents with a rank and a text: rank, key (64 bits of the text's hash), chars."""
     docs, evals = table(spark, folder, "documents"), table(spark, folder, "eval_docs")
     both = docs.select("rank", "text").unionByName(evals.select("rank", "text")).where("rank is not null and text is not null")
-    return both.select("rank", F.md5("text").alias("key"), F.length("text").cast("long").alias("chars"))
+    return both.select("rank", blake2_key("text").alias("key"), F.length("text").cast("long").alias("chars"))
 
 
 TEXTS = """texts as (select rank, md5(text) as key, length(text)::bigint as chars from (select rank, text from documents union all select rank, text from eval_docs)
@@ -45,23 +46,22 @@ TEXTS = """texts as (select rank, md5(text) as key, length(text)::bigint as char
 
 
 def clean_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per row_id with a positive count: row_id, topic, n_tokens_full, z, mean_loss."""
-    rows = table(spark, folder, "pool").where("row_id is not null and n_tokens_full > 0 and z is not null")
-    return rows.groupBy("row_id").agg(F.max("topic").alias("topic"), F.max("n_tokens_full").cast("long").alias("n_tokens_full"), F.max("z").cast("double").alias("z"), F.max("mean_loss").cast("double").alias("mean_loss"))
+    """The pool's records with a positive count and a z: row_id, topic (``-`` where it is empty or null), n_tokens_full, z, mean_loss."""
+    rows = records.pool_records(table(spark, folder, "pool"), table(spark, folder, "doc_counts"), ["topic", "n_tokens_full", "z", "mean_loss"]).where("n_tokens_full > 0 and z is not null")
+    return rows.select("row_id", F.coalesce(F.nullif(F.trim("topic"), F.lit("")), F.lit("-")).alias("topic"), F.col("n_tokens_full").cast("long").alias("n_tokens_full"), F.col("z").cast("double").alias("z"), F.col("mean_loss").cast("double").alias("mean_loss"))
 
 
-POOL = """clean as (select row_id, max(topic) as topic, max(n_tokens_full)::bigint as n_tokens_full, max(z)::double as z, max(mean_loss)::double as mean_loss from pool
- where row_id is not null and n_tokens_full > 0 and z is not null group by row_id)"""
+POOL = f"""{sql.KNOWN}, firsts as (select * from known where row_id is not null qualify row_number() over (partition by row_id order by added_at nulls last, topic nulls last, n_tokens_full nulls last, z nulls last, mean_loss nulls last) = 1),
+clean as (select row_id, coalesce(nullif(trim(topic), ''), '-') as topic, n_tokens_full::bigint as n_tokens_full, z::double as z, mean_loss::double as mean_loss from firsts where n_tokens_full > 0 and z is not null)"""
 
 
 def clean_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Score rows with a finite positive loss and a possible count, topics folded."""
-    rows = table(spark, folder, "scores").where("mean_loss > 0 and mean_loss < double('infinity') and n_tokens between 1 and 1000000")
-    return rows.select("rank", F.coalesce(F.lower(F.trim("topic")), F.lit("-")).alias("topic"), "n_tokens", F.col("mean_loss").cast("double").alias("mean_loss"))
+    """The records of ``scores`` with a usable loss and a usable count: rank, topic (canonical), n_tokens, mean_loss."""
+    return records.usable_scores(table(spark, folder, "scores"), table(spark, folder, "doc_counts")).drop("source")
 
 
-SCORES = """clean_scores as (select rank, coalesce(lower(trim(topic)), '-') as topic, n_tokens, mean_loss::double as mean_loss from scores
- where mean_loss > 0 and isfinite(mean_loss) and n_tokens between 1 and 1000000)"""
+SCORES = f"""{sql.CATALOG}, {sql.RECORDS},
+clean_scores as (select rank, topic, count as n_tokens, loss::double as mean_loss from records where loss is not null and count is not null)"""
 
 EVAL_FROM = "(select rank_hi from splits where split_name = 'train')"
 
@@ -145,29 +145,22 @@ def dedup_by_language(spark, folder):
     return named.groupBy("lang").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
-@query(f"""with {TEXTS}, k as (select key, count(*) as n, count(*) filter (rank < {EVAL_FROM}) as nt, sum(chars) filter (rank < {EVAL_FROM}) as tc, arg_min(chars, rank) as fc, max(rank) >= {EVAL_FROM} as ev from texts group by key)
-select sum(n)::bigint as docs, count(*) as unique_texts, sum(nt)::bigint as train_docs, count(*) filter (not ev) as train_docs_kept, coalesce(sum(nt) filter (ev), 0)::bigint as train_docs_in_eval,
- sum(tc)::bigint as train_chars, sum(fc) filter (not ev)::bigint as train_chars_kept, max(n) as max_copies from k""")
-def dedup_stats(spark, folder):
-    return dedup.dedup_stats(texts(spark, folder), "key", "rank", "chars", eval_from(spark, folder))
-
-
 @query("select doc_id from documents where text is null or text not in (select text from eval_docs where text is not null)")
 def decontam_anti(spark, folder):
-    docs, evals = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("key")), table(spark, folder, "eval_docs").select(F.md5("text").alias("key"))
+    docs, evals = table(spark, folder, "documents").select("doc_id", blake2_key("text").alias("key")), table(spark, folder, "eval_docs").select(blake2_key("text").alias("key"))
     return dedup.without_keys(docs, evals, "key").select("doc_id")
 
 
 @query("select doc_id from documents where text in (select text from eval_docs where text is not null)")
 def decontam_semi(spark, folder):
-    docs, evals = table(spark, folder, "documents").select("doc_id", F.md5("text").alias("key")), table(spark, folder, "eval_docs").select(F.md5("text").alias("key"))
+    docs, evals = table(spark, folder, "documents").select("doc_id", blake2_key("text").alias("key")), table(spark, folder, "eval_docs").select(blake2_key("text").alias("key"))
     return dedup.with_keys(docs, evals, "key").select("doc_id")
 
 
 @query("""with e as (select distinct text from eval_docs where text is not null)
 select count(*)::bigint as train_docs_hit, coalesce(sum(length(text)), 0)::bigint as train_size_hit, count(distinct text) as held_out_hit, (select count(*) from e) as held_out_keys from documents where text in (select text from e)""")
 def val_overlap(spark, folder):
-    key = [F.md5("text").alias("key"), F.length("text").cast("long").alias("size")]
+    key = [blake2_key("text").alias("key"), F.length("text").cast("long").alias("size")]
     return dedup.overlap_counts(table(spark, folder, "documents").select(*key), table(spark, folder, "eval_docs").select(*key), "key", "size")
 
 
@@ -200,6 +193,18 @@ def first_per_key(spark, folder):
 _WITH_HASH = signed_hash("kept", 43, "rank")
 
 
+@query(f"""{_KEPT}, o as (select *, row_number() over (order by h, rank) as n from {_WITH_HASH}), picked as (select * from o where n <= floor(0.25 * (select count(*) from kept))),
+k as (select key, count(*) as n, count(*) filter (rank < {EVAL_FROM}) as nt, sum(chars) filter (rank < {EVAL_FROM}) as tc, arg_min(chars, rank) as fc, max(rank) >= {EVAL_FROM} as ev from texts group by key)
+select sum(n)::bigint as docs, count(*) as unique_texts, sum(nt)::bigint as train_docs, count(*) filter (not ev) as train_docs_kept, coalesce(sum(nt) filter (ev), 0)::bigint as train_docs_in_eval,
+ (select count(*) from picked) as train_docs_selected, (select sum(chars) from picked)::bigint as train_chars_selected, sum(tc)::bigint as train_chars, sum(fc) filter (not ev)::bigint as train_chars_kept,
+ floor(sum(fc) filter (not ev) / 4.5)::bigint as est_unique_train_tokens, 4.5 as chars_per_token, max(n) as max_copies from k""")
+def dedup_stats(spark, folder):
+    rows, start = texts(spark, folder), eval_from(spark, folder)
+    kept = dedup.deduplicated(rows, "key", "rank", start).select("rank", "chars")
+    selected = dedup.uniform_selection(kept, 43, "rank", F.col("chars"), fraction=0.25)
+    return dedup.dedup_stats(rows, "key", "rank", "chars", start, selected, 4.5)
+
+
 @query(f"{_KEPT}, o as (select *, sum(chars) over (order by h, rank) as cum from {_WITH_HASH}) select rank, chars from o where cum - chars < 1000000")
 def uniform_unique_budget(spark, folder):
     rows = dedup.deduplicated(texts(spark, folder), "key", "rank", eval_from(spark, folder)).select("rank", "chars")
@@ -334,10 +339,12 @@ def loss_histogram(spark, folder):
     return stats.histogram(clean_pool(spark, folder), "mean_loss", 0.0, 7.0, 70, "topic")
 
 
-@query("""select coalesce(case when grouping(source) = 1 then 'ALL' else source end, '-') as source, count(*) as docs, sum(n_tokens_full)::bigint as size, count(*) filter (mean_loss is not null and not isnan(mean_loss)) as scored,
- count(*) filter (mean_loss is null or isnan(mean_loss) or mean_loss < 3) as kept, coalesce(sum(n_tokens_full) filter (mean_loss is null or isnan(mean_loss) or mean_loss < 3), 0)::bigint as kept_size from pool group by rollup (source)""")
+@query(f"""with {sql.CATALOG}, named as (select * exclude (topic), '' as topic, '' as vigintile from pool), c as (select * from {sql.canonical('named')})
+select coalesce(case when grouping(source) = 1 then 'ALL' else source end, '-') as source, count(*) as docs, sum(n_tokens_full)::bigint as size, count(*) filter (mean_loss is not null and not isnan(mean_loss)) as scored,
+ count(*) filter (mean_loss is null or isnan(mean_loss) or mean_loss < 3) as kept, coalesce(sum(n_tokens_full) filter (mean_loss is null or isnan(mean_loss) or mean_loss < 3), 0)::bigint as kept_size from c group by rollup (source)""")
 def qc_stats(spark, folder):
-    return quality.scan_stats(table(spark, folder, "pool"), "source", "n_tokens_full", "mean_loss", 3.0).withColumn("source", F.coalesce("source", F.lit("-")))
+    rows = labels.canonical(table(spark, folder, "pool").select("source", "topic", "n_tokens_full", "mean_loss"), table(spark, folder, "doc_counts"), vigintile=None)
+    return quality.scan_stats(rows, "source", "n_tokens_full", "mean_loss", 3.0).withColumn("source", F.coalesce("source", F.lit("-")))
 
 
 @query("select event_id from events where value < 20 or value is null or isnan(value)")
@@ -345,20 +352,27 @@ def qc_filter(spark, folder):
     return table(spark, folder, "events").where(exprs.qc_passes(F.col("value"), 20.0)).select("event_id")
 
 
-THRESHOLDS = [0.5, 1, 2, 5, 10, 20, 30, 50, 80, 100, 150, 200, 300, 400]
-_GRID = ", ".join(f"({float(t)})" for t in THRESHOLDS)
+THRESHOLDS = exprs.logit_thresholds()
+_GRID = f"grid as (select unnest([{', '.join(map(repr, THRESHOLDS))}]) as threshold), scored as (select (mean_loss::double) / 10 as score, n_tokens_full as weight from pool where mean_loss is not null and not isnan(mean_loss))"
+_SURVIVAL = f"""{_GRID}, sums as (select threshold, (select count(*) from scored where score >= threshold) as n, (select coalesce(sum(weight), 0) from scored where score >= threshold) as w from grid)"""
+
 
+def _curve(spark, folder):
+    rows = table(spark, folder, "pool").select((F.col("mean_loss").cast("double") / 10).alias("score"), "n_tokens_full")
+    return quality.survival(rows, "score", F.col("n_tokens_full"), THRESHOLDS)
 
-@query(f"select threshold, round((select count(*) from events where value >= threshold) / (select count(*) from events), 6) as share_docs, round(coalesce((select sum(event_id % 7) from events where value >= threshold), 0) / (select sum(event_id % 7) from events), 6) as share_weight from (values {_GRID}) v(threshold)")
+
+@query(f"with {_SURVIVAL} select round(threshold, 9) as threshold, round(n / (select count(*) from scored), 6) as share_docs, round(w / (select sum(weight) from scored), 6) as share_weight from sums")
 def qc_survival(spark, folder):
-    return quality.survival(table(spark, folder, "events"), "value", F.col("event_id") % 7, THRESHOLDS)
+    """The share of scores (losses as tenths) at or above each of 2,001 thresholds with equal steps of their log odds."""
+    return _curve(spark, folder).withColumn("threshold", r("threshold", 9))
 
 
-@query(f"""with s as (select threshold, round(coalesce((select sum(event_id % 7) from events where value >= threshold), 0) / (select sum(event_id % 7) from events), 6) as a from (values {_GRID}) v(threshold))
-select threshold, round(a * 1000.0 + 500.0, 4) as keep_above, round(1000.0 - a * 1000.0 + 500.0, 4) as keep_below from s""")
+@query(f"""with {_SURVIVAL}, s as (select threshold, round(w / (select sum(weight) from scored), 6) as a from sums)
+select round(threshold, 9) as threshold, round(a * 1000.0 + 500.0, 4) as keep_above, round(1000.0 - a * 1000.0 + 500.0, 4) as keep_below from s""")
 def tokens_left(spark, folder):
-    curve = quality.survival(table(spark, folder, "events"), "value", F.col("event_id") % 7, THRESHOLDS)
-    return quality.tokens_left(curve, 1000.0, 500.0).select("threshold", r("keep_above", 4).alias("keep_above"), r("keep_below", 4).alias("keep_below"))
+    left = quality.tokens_left(_curve(spark, folder), 1000.0, 500.0)
+    return left.select(r("threshold", 9).alias("threshold"), r("keep_above", 4).alias("keep_above"), r("keep_below", 4).alias("keep_below"))
 
 
 @query("""select event_type, round(median(value), 6) as median, round(sum(event_id % 7) filter (value >= 20) / sum(event_id % 7), 6) as high_share, sum(event_id % 7)::bigint as weight,
@@ -431,22 +445,11 @@ def near_duplicate_pairs(spark, folder):
     return named.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), r("similarity").alias("similarity"))
 
 
-@query()
-def near_duplicate_classes(spark, folder):
-    return neardup.near_duplicates(table(spark, folder, "documents", spread=True))
-
-
 @query()
 def minhash_classes(spark, folder):
     return neardup.minhash_classes(table(spark, folder, "documents", spread=True))
 
 
-@query()
-def near_dedup(spark, folder):
-    docs = table(spark, folder, "documents", spread=True)
-    return neardup.keep_one(docs, neardup.near_duplicates(docs)).select("doc_id", "source")
-
-
 _PLAIN = r"list_filter(string_split(text, E'\n'), lambda x: trim(x) <> '')"
 
 
@@ -519,20 +522,6 @@ def stream_offsets(spark, folder):
     return tokens.starts_of(docs, ["doc_id"], "n")
 
 
-@query()
-def document_segments(spark, folder):
-    """Blocks of framed word ids: segments per block, and how many begin a document."""
-    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
-    made = tokens.blocks(docs, ["doc_id"], "ids", 2048)
-    return made.select("block_id", (F.size(tokens.segment_starts(F.col("ids"))) - 1).alias("segments"), F.size(tokens.boundaries(F.col("ids"))).alias("documents"))
-
-
-@query()
-def packing_protocols(spark, folder):
-    docs = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", tokens.framed(tokens.word_ids(F.col("text"))).alias("ids"))
-    return tokens.protocol_losses(tokens.blocks(docs, ["doc_id"], "ids", 2048))
-
-
 @query("select doc_id, md5(text) as hash, length(text) as chars, n_chars from documents")
 def json_round_trip(spark, folder):
     """Documents to JSON lines and back through the corpus source's parser."""
@@ -575,9 +564,10 @@ def pool_summary(spark, folder):
     rows = clean_pool(spark, folder)
     out = rows.agg(
         F.count("*").alias("rows"), F.sum("n_tokens_full").alias("tokens"), r(F.avg("n_tokens_full"), 4).alias("tokens_per_row"), r(F.avg((F.abs("z") >= 3).cast("double"))).alias("clipped_share"),
-        r(F.median("z")).alias("median_z"), r(stats.weighted_average(F.col("z"), F.col("n_tokens_full"))).alias("weighted_z"),
+        r(stats.weighted_average(F.col("z"), F.col("n_tokens_full"))).alias("weighted_z"),
     )
-    return out
+    middle = prefix.exact_quantiles(rows.withColumn("all", F.lit(0)), "z", [0.5], "all").select(r("quantile").alias("q"))
+    return out.withColumn("median_z", middle.scalar())
 
 
 @query("select source, doc_id, substr(text, 1, 600) as snippet from (select *, row_number() over (partition by source order by doc_id) as rn from documents where doc_id % 97 = 0 and source is not null) where rn <= 4")

@@ -27,8 +27,9 @@ left join cat_source s on x.f = s.folded or starts_with(x.f, s.folded || '_')
 left join cat_topic c on c.source = s.source and c.folded = coalesce(nullif(x.t, ''), nullif(regexp_replace(substr(x.f, length(s.folded) + 2), '_?[0-9]+$', ''), '')))"""
 
 
+RECORDS_LATEST = "latest as (select * from scores where rank is not null qualify row_number() over (partition by rank order by scored_at desc nulls last, loaded_at desc nulls last, n_tokens desc nulls last, mean_loss desc nulls last) = 1)"
 RECORDS = f"""
-latest as (select * from scores where rank is not null qualify row_number() over (partition by rank order by scored_at desc nulls last, loaded_at desc nulls last, n_tokens desc nulls last, mean_loss desc nulls last) = 1),
+{RECORDS_LATEST},
 records as (select * exclude (v), case when mean_loss > 0 and isfinite(mean_loss) and n_pred > 0 then mean_loss end as loss,
     case when n_tokens between 1 and 1000000 then n_tokens end as count from {canonical('latest')})
 """
