@@ -21,6 +21,7 @@ from ..runtime import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
+HOT_TERM, PARTS = 256, 16  # sets from which the list of a term is split, and into how many parts
 BUCKETS, ROWS = 20, 12
 
 
@@ -54,11 +55,17 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ordered = Window.partitionBy("set_id").orderBy("df", "term")
     ranked = shared.withColumn("place", F.row_number().over(ordered)).withColumn("common", F.count("*").over(Window.partitionBy("set_id")))
     prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    listed = ranked.where(F.col("place") + F.col("n") - F.col("common") <= prefix).select("set_id", "n", "term")
-    left = listed.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "term")
-    right = listed.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "term")
+    rest = F.col("common") - F.col("place") + 1  # terms of the set from this one on that others have, too
+    listed = ranked.where(F.col("place") + F.col("n") - F.col("common") <= prefix).select("set_id", "n", "term", rest.alias("rest"), (F.col("df") > HOT_TERM).alias("hot"))
+    # the list of a frequent term is split on one side and copied on the other
+    copied = F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), PARTS - 1).otherwise(0))).alias("part")
+    own = F.when(F.col("hot"), F.pmod(F.xxhash64("set_id"), F.lit(PARTS))).otherwise(0).cast("int").alias("part")
+    left = listed.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "term", copied)
+    right = listed.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "term", own)
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.lit(similarity) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(similarity) * F.col("na") - 1e-9)
-    candidates = left.join(right, "term").where(fits).select("a", "b").distinct()
+    # at the first common term the shorter rest still holds all that two such sets have in common
+    enough = F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9
+    candidates = left.join(right, ["term", "part"]).where(fits & enough).select("a", "b").distinct()
     with_a = candidates.join(once.select(F.col("set_id").alias("a"), F.col("terms").alias("ta")), "a")
     with_b = with_a.join(once.select(F.col("set_id").alias("b"), F.col("terms").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -70,7 +77,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """(``node``, ``component``) of an undirected graph: the least node of each connected component.
 
     Each round every node takes the least label among itself and its neighbours, and then that label's own label
-    (pointer jumping), so chains shrink by half; rounds are tables in the shared folder. Stops when nothing changes.
+    (pointer jumping), so chains shrink by half; rounds are tables in the shared folder. Stops when nothing changes. Many rows
+    may meet in one label or hub, but each time one row of the other side: a skewed partition that the engine splits.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     both = materialize(both, "edges")

@@ -208,10 +208,15 @@ def points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, float(t), float(v)) for n, p in RUNS.items() for t, v in p], "run string, tokens double, loss double")
 
 
-def _fit_sql(form: str, top: float) -> str:
+def _fits_sql(form: str, top: float, points_: str) -> str:
+    """Tables p .. e of a fit, as SQL; e has the curve of every k."""
     f = "pow(x, -k)" if form == "power" else "exp(-x / k)"
-    return f"""with p(run, x, y) as (values {_POINTS}), g as (select 0.05 + range * {(top - 0.05) / 3999!r} as k from range(4000)), s as (select run, k, count(*) as n, sum({f}) as sf, sum({f} * {f}) as sff, sum(y) as sy, sum({f} * y) as sfy, sum(y * y) as syy from p, g group by all),
- a as (select *, (n * sfy - sf * sy) / (n * sff - sf * sf) as a from s), l as (select *, (sy - a * sf) / n as l from a), e as (select *, syy - l * sy - a * sfy as sse from l where l >= 0 and a > 0)
+    return f"""p(run, x, y) as (values {points_}), g as (select 0.05 + range * {(top - 0.05) / 3999!r} as k from range(4000)), s as (select run, k, count(*) as n, sum({f}) as sf, sum({f} * {f}) as sff, sum(y) as sy, sum({f} * y) as sfy, sum(y * y) as syy from p, g group by all),
+ a as (select *, (n * sfy - sf * sy) / (n * sff - sf * sf) as a from s), l as (select *, (sy - a * sf) / n as l from a), e as (select *, greatest(syy - l * sy - a * sfy, 0) as sse from l where l >= 0 and a > 0)"""
+
+
+def _fit_sql(form: str, top: float, points_: str) -> str:
+    return f"""with {_fits_sql(form, top, points_)}
  select run, round(arg_min(l, sse), 2) as l, round(arg_min(a, sse), 2) as a, round(arg_min(k, sse), 2) as k, round(sqrt(min(sse) / any_value(n)), 4) as rmse from e group by run"""
 
 
@@ -219,21 +224,45 @@ def _fit(spark, form):
     return fits.scaling_fit(points(spark), form).select("run", r("l", 2).alias("l"), r("a", 2).alias("a"), r("k", 2).alias("k"), r("rmse", 4).alias("rmse"))
 
 
-@query(_fit_sql("power", 5.0))
+@query(_fit_sql("power", 5.0, _POINTS))
 def scaling_power(spark, folder):
     return _fit(spark, "power")
 
 
-@query(_fit_sql("exp", 10.0))
+@query(_fit_sql("exp", 10.0, _POINTS))
 def scaling_exp(spark, folder):
     return _fit(spark, "exp")
 
 
-@query()
+_HELD = ", ".join(f"('{n}', {t}::double, {v}::double)" for n, p in RUNS.items() for t, v in p if t <= 2)
+
+
+def _forecast_sql(form: str, top: float) -> str:
+    f = "pow(v, -k)" if form == "power" else "exp(-v / k)"
+    return f"""select run, '{form}' as form, v as x, round(l + a * {f}, 2) as predicted from (with {_fits_sql(form, top, _HELD)} select run, arg_min(l, sse) as l, arg_min(a, sse) as a, arg_min(k, sse) as k from e group by run), (values (3.0::double), (6.0::double)) t(v)"""
+
+
+@query(f"{_forecast_sql('power', 5.0)} union all {_forecast_sql('exp', 10.0)}")
 def scaling_forecast(spark, folder):
+    """Fits on runs of at most 2 billion tokens, and what they predict for 3 and 6."""
     held = points(spark).where("tokens <= 2")
     both = [fits.predict(fits.scaling_fit(held, f), f, [3.0, 6.0]).withColumn("form", F.lit(f)) for f in fits.FORMS]
-    return both[0].unionByName(both[1]).select("run", "form", "x", r("predicted", 3).alias("predicted"))
+    return both[0].unionByName(both[1]).select("run", "form", "x", r("predicted", 2).alias("predicted"))
+
+
+# Losses after a decay from given steps (in thousands) of the stable run.
+BRANCHES = {
+    "normuon": [(3.0, 3.0726), (5.5, 3.0216), (8.0, 2.9959), (10.3, 2.9820)],
+    "adamw": [(3.0, 3.1660), (5.5, 3.0841), (8.0, 3.0408), (10.3, 3.0167)],
+}
+_BRANCHES = ", ".join(f"('{n}', {t}::double, {v}::double)" for n, p in BRANCHES.items() for t, v in p)
+
+
+@query(_fit_sql("power", 5.0, _BRANCHES))
+def branch_fit(spark, folder):
+    """The floor of decayed losses: a + b S^-c over the steps S of the stable run."""
+    rows = spark.createDataFrame([(n, t, v) for n, p in BRANCHES.items() for t, v in p], "run string, tokens double, loss double")
+    return fits.scaling_fit(rows, "power").select("run", r("l", 2).alias("l"), r("a", 2).alias("a"), r("k", 2).alias("k"), r("rmse", 4).alias("rmse"))
 
 
 @query()
@@ -278,6 +307,57 @@ def batch_sampler(spark, folder):
     return schedule.batches(table(spark, folder, "events"), "event_id", [(32, 4), (64, 6)], 3, world=2, accumulate=2)
 
 
+@query(f"""with h as (select *, row_number() over (order by case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end, event_id) - 1 - 512 as t from {sql_hash64(3, '(select event_id from events)', 'event_id')}),
+m as (select event_id, t // 64 as measurement, (t // 32) % 2 as rank, t % 32 as o, case when (t // 64) * 5 <= 4 then 8 else 16 end as m from h where t >= 0)
+select event_id, measurement::int as measurement, rank::int as rank, (o // m)::int as pair from m where measurement < 3 and o < 2 * m""")
+def noise_blocks(spark, folder):
+    """Blocks that the plan leaves, dealt to noise measurements, ranks and pairs."""
+    return schedule.noise_blocks(table(spark, folder, "events"), "event_id", [(32, 4), (64, 6)], 3, 5, world=2, accumulate=2)
+
+
+@query(f"""with {_QUESTIONS}, s as (select case when label % 2 = 0 then 'proxy-' else 'full-' end || label as run, avg(prob_norm) as v from m group by 1)
+select a.run, b.run as reference, round(a.v - b.v, 6) as delta from s a join s b on b.run in ('proxy-0', 'full-1') and a.run <> b.run and starts_with(a.run, 'proxy') = starts_with(b.run, 'proxy')""")
+def comparable_runs(spark, folder):
+    """Each run against the references of its own kind."""
+    run = F.concat(F.when(F.col("label") % 2 == 0, "proxy-").otherwise("full-"), F.col("label"))
+    means = questions(spark, folder).groupBy(run.alias("run")).agg(F.avg("prob_norm").alias("v"))
+    references = means.select(F.col("run").alias("reference"), F.col("v").alias("__v"))
+    pairs = means.withColumn("reference", F.explode(F.array(F.lit("proxy-0"), F.lit("full-1")))).where(exprs.comparable(F.col("run"), F.col("reference")) & (F.col("run") != F.col("reference")))
+    both = pairs.join(references, "reference")
+    return both.select("run", "reference", r(F.col("v") - F.col("__v")).alias("delta"))
+
+
+@query("select event_id, ((event_id % 3) * 86400 + (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59)::bigint as seconds from events")
+def durations(spark, folder):
+    """Durations written with and without days."""
+    part = lambda k: (F.col("event_id") % k).cast("int")
+    clock = F.format_string("%02d:%02d:%02d", part(24), part(60), part(59))
+    text = F.when(F.col("event_id") % 3 == 0, clock).otherwise(F.concat((F.col("event_id") % 3).cast("string"), F.lit("-"), clock))
+    return table(spark, folder, "events").select("event_id", exprs.duration_seconds(text).alias("seconds"))
+
+
+@query("select event_id, case event_id % 4 when 0 then (event_id % 900 + 2) * 1e3 when 1 then (event_id % 900 + 2) * 1e6 when 2 then (event_id % 900 + 2) * 1e9 else 0.25 * 6e9 end as tokens from events")
+def stage_amounts(spark, folder):
+    """Token amounts written with suffixes, and as a share of the budget."""
+    n = (F.col("event_id") % 900 + 2).cast("string")
+    text = F.when(F.col("event_id") % 4 == 3, "0.25").otherwise(F.concat(n, F.element_at(F.array(F.lit("K"), F.lit("M"), F.lit("b")), (F.least(F.col("event_id") % 4, F.lit(2)) + 1).cast("int"))))
+    return table(spark, folder, "events").select("event_id", exprs.stage_tokens(text, F.lit(6e9)).alias("tokens"))
+
+
+_TENSORS_OF = {"self_attn.q_proj.weight": ("attn_q", 2), "self_attn.o_proj.weight": ("attn_o", 2), "mlp.gate_proj.weight": ("mlp_gate", 2), "input_layernorm.weight": ("norm", 1), "self_attn.q_proj.bias": ("bias", 1)}
+
+
+@query(f"""with n(type) as (values {', '.join(f"('{t}')" for t, _ in _TENSORS_OF.values())}), l as (select range as layer from range(32)), every as (select type, layer from n, l union all select 'embed', -1 union all select 'lm_head', -1)
+select type, count(*) as tensors, sum(layer + 2)::bigint as numbers, count(distinct layer) as layers from every group by type""")
+def parameter_groups(spark, folder):
+    """Parameters of a model by block type and layer, from their names."""
+    kinds = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(dims).alias("dimensions")) for name, (_, dims) in _TENSORS_OF.items()])
+    layers = spark.range(32).select((F.col("id") + 2).alias("numbers"), F.concat(F.lit("model.layers."), "id").alias("prefix"), F.explode(kinds).alias("k"))
+    named = layers.select(F.concat("prefix", F.lit("."), "k.name").alias("name"), "k.dimensions", "numbers")
+    ends = spark.createDataFrame([("model.embed_tokens.weight", 2, 1), ("lm_head.weight", 2, 1)], "name string, dimensions int, numbers long")
+    return dynamics.parameter_table(named.unionByName(ends))
+
+
 # --- streams
 
 

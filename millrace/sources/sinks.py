@@ -19,6 +19,13 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def local_path(path: str) -> str:
+    """The file-system path of a folder that all executors mount."""
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError(f"{path} is no mounted folder")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def is_done(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end (its marker exists)."""
     system, target = _file_system(spark, f"{path}/_SUCCESS")
