@@ -25,9 +25,6 @@ QUERIES = {
     "p6_containers": packing.p6_containers,
     "p6_report": packing.p6_report,
     "p6_bytes": packing.p6_bytes,
-    "p6_bytes": """select sum((b + 65535) // 65536)::bigint as items, count(*) filter (b > 65536) as divided_texts, sum(b)::bigint as bytes, 0::bigint as overfull, 0::bigint as misplaced, true as tight
-        from (select strlen(text) as b from documents where text <> '')""",
-    "p7_blocks": mixing.SQL_BLOCKS.replace("{catalog}", CATALOG).replace("{documents}", canonical("documents")),
     "p7_found": mixing.p7_found,
     "p7_mix": mixing.p7_mix,
     "p7_texts": mixing.p7_texts,
