@@ -107,16 +107,24 @@ def rows_at(df: DataFrame, positions: DataFrame, order: Sequence[str], group: Se
     return numbered.join(wanted, [*group, "position"]).select(*group, "position", *order)
 
 
+IN_ONE_TASK = 100_000
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: Sequence[float], group: str | Sequence[str]) -> DataFrame:
     """group, ``q``, ``quantile``: exact quantiles with linear interpolation, of groups of any size; null values are left out, a
     null in the group's columns is a value like any other.
 
-    The two neighbours of each quantile are looked up by position, instead of holding a group's values in one aggregation.
+    The two neighbours of each quantile are looked up by position, instead of holding a group's values in one aggregation;
+    that is done only where the greatest group has at most IN_ONE_TASK values, by count.
     """
     names = [group] if isinstance(group, str) else list(group)
     clean = df.where(F.col(value).isNotNull()).select(F.struct(*names).alias("__group"), F.col(value).cast("double").alias("__x"))
     group = "__group"  # a struct is equal to another if their nulls are in the same places
     sizes = clean.groupBy(group).agg(F.count("*").alias("__n"))
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= IN_ONE_TASK:  # the same result, by one aggregation
+        each = clean.groupBy(group).agg(F.percentile("__x", F.array(*[F.lit(float(q)) for q in quantiles])).alias("__q"))
+        pairs = F.inline(F.arrays_zip(F.array(*[F.lit(float(q)) for q in quantiles]).alias("q"), F.col("__q").alias("quantile")))
+        return each.select(*[F.col(f"__group.`{n}`").alias(n) for n in names], pairs)
     points = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("__h", F.col("q") * (F.col("__n") - 1))
     low = F.floor("__h").cast("long")
     points = points.withColumns({"__lo": low + 1, "__hi": F.least(low + 2, F.col("__n")), "__f": F.col("__h") - low})

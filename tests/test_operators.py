@@ -41,7 +41,9 @@ def test_budget_prefix(spark, budget, reach, kept):
     assert prefix.up_to(rows, cuts, ["k"]).count() == kept
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_quantiles(spark, monkeypatch, one_task):
+    monkeypatch.setattr(prefix, "IN_ONE_TASK", one_task)
     rows = frame(spark, [("a", float(v)) for v in (1, 2, 3, 4, 5)] + [("b", 7.0), ("b", None)], "g string, x double")
     got = {(r.g, r.q): r.quantile for r in prefix.exact_quantiles(rows, "x", [0.05, 0.95], "g").collect()}
     assert got == pytest.approx({("a", 0.05): 1.2, ("a", 0.95): 4.8, ("b", 0.05): 7.0, ("b", 0.95): 7.0})

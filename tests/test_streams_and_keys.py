@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import runtime
 from millrace.functions import exprs, hashing
-from millrace.operators import dynamics, neardup, quality, records, stats, tokens
+from millrace.operators import dynamics, neardup, prefix, quality, records, stats, tokens
 from millrace.plans import schedule
 from millrace.sources import corpus, sinks
 
@@ -172,7 +172,9 @@ def test_reached_equals_digitize(spark):
     assert [r.a for r in got] == [r.b for r in got] and exprs.logit_thresholds()[1000] == pytest.approx(0.5)
 
 
-def test_medians_of_any_groups(spark):
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_medians_of_any_groups(spark, monkeypatch, one_task):
+    monkeypatch.setattr(prefix, "IN_ONE_TASK", one_task)
     rows = frame(spark, [(None, "m", "b", s, float(v)) for s in (1, 50, 99) for v in (1, 2, 9)] + [("r", "m", "b", 1, 4.0), ("r", "m", "b", 1, None)], "run string, metric string, block string, step int, value double")
     got = {r.run: (r.warmup, r.stable, r.decay) for r in dynamics.stage_medians(rows, 100, "run").collect()}
     assert got == {None: (2.0, 2.0, 2.0), "r": (4.0, None, None)}
